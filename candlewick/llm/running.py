@@ -16,7 +16,7 @@ SLICE_ROWS = 50_000
 
 def slices_for(rows: int, slice_rows: int = SLICE_ROWS) -> int:
     """Slices per group so that even a group of all rows gets slices of about `slice_rows`."""
-    return max(32, -(-rows // slice_rows))
+    return max(256, -(-rows // slice_rows))
 
 
 def hash_key(*columns: Column, seed: int) -> Column:
