@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm import mixing, sharding, tokens
+from candlewick.llm import linededup, mixing, sharding, tokens
 from candlewick.llm.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,12 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     """Where a public tokenizer's file is installed on this machine and on every executor."""
     import public_tokenizers
@@ -39,6 +45,7 @@ def op9_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_source_mixing": op2_source_mixing,
+    "op3_line_dedup": op3_line_dedup,
     "op4_token_planes": op4_token_planes,
     "op9_stratified_shards": op9_stratified_shards,
 }
