@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm import linededup, mixing, sharding, tokens
+from candlewick.llm import decontam, linededup, mixing, sharding, tokens
 from candlewick.llm.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,19 @@ def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op6_benchmark_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", "items").cast("binary"), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
 def op9_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"), shards=24).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -47,5 +60,6 @@ QUERIES: dict[str, Query] = {
     "op2_source_mixing": op2_source_mixing,
     "op3_line_dedup": op3_line_dedup,
     "op4_token_planes": op4_token_planes,
+    "op6_benchmark_phrases": op6_benchmark_phrases,
     "op9_stratified_shards": op9_stratified_shards,
 }
