@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm import decontam, linededup, mixing, sharding, tokens
+from candlewick.llm import decontam, linededup, mixing, quality, sharding, tokens
 from candlewick.llm.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,14 @@ def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").filter(~quality.held_out()).select("doc_id", F.col("quality").alias("label"))
+    model = quality.fit(docs, labels)
+    scored = quality.score(docs.select("doc_id", "text"), model, threshold=0.3)
+    return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
 def op6_benchmark_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
@@ -60,6 +68,7 @@ QUERIES: dict[str, Query] = {
     "op2_source_mixing": op2_source_mixing,
     "op3_line_dedup": op3_line_dedup,
     "op4_token_planes": op4_token_planes,
+    "op5_subword_quality": op5_subword_quality,
     "op6_benchmark_phrases": op6_benchmark_phrases,
     "op9_stratified_shards": op9_stratified_shards,
 }
