@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm import decontam, linededup, mixing, quality, sharding, tokens
+from candlewick.llm import decontam, htmlmain, linededup, mixing, quality, sharding, tokens
 from candlewick.llm.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -58,6 +58,12 @@ def op6_benchmark_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmlmain.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars")
+    )
+
+
 def op9_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"), shards=24).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -70,5 +76,6 @@ QUERIES: dict[str, Query] = {
     "op4_token_planes": op4_token_planes,
     "op5_subword_quality": op5_subword_quality,
     "op6_benchmark_phrases": op6_benchmark_phrases,
+    "op7_main_text": op7_main_text,
     "op9_stratified_shards": op9_stratified_shards,
 }
