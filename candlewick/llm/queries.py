@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm import decontam, htmlmain, linededup, mixing, quality, sharding, tokens
+from candlewick.llm import decontam, embdedup, htmlmain, linededup, mixing, quality, sharding, tokens
 from candlewick.llm.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,6 +70,10 @@ def op9_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embdedup.link(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
 QUERIES: dict[str, Query] = {
     "op2_source_mixing": op2_source_mixing,
     "op3_line_dedup": op3_line_dedup,
@@ -78,4 +82,5 @@ QUERIES: dict[str, Query] = {
     "op6_benchmark_phrases": op6_benchmark_phrases,
     "op7_main_text": op7_main_text,
     "op9_stratified_shards": op9_stratified_shards,
+    "op10_embedding_links": op10_embedding_links,
 }
