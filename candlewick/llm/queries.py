@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm import decontam, embdedup, htmlmain, linededup, mixing, quality, sharding, tokens
+from candlewick.llm import decontam, embdedup, htmlmain, linededup, mixing, neardedup, quality, sharding, tokens
 from candlewick.llm.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,6 +64,10 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardedup.link(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op9_stratified_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.interleave(table(spark, sf_dir, "documents"), shards=24).select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
@@ -81,6 +85,7 @@ QUERIES: dict[str, Query] = {
     "op5_subword_quality": op5_subword_quality,
     "op6_benchmark_phrases": op6_benchmark_phrases,
     "op7_main_text": op7_main_text,
+    "op8_minhash_groups": op8_minhash_groups,
     "op9_stratified_shards": op9_stratified_shards,
     "op10_embedding_links": op10_embedding_links,
 }
