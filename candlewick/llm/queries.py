@@ -10,12 +10,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from candlewick.llm import decontam, embdedup, htmlmain, linededup, mixing, neardedup, quality, sharding, tokens
+from candlewick.llm import decontam, embdedup, htmlmain, linededup, mixing, neardedup, quality, sharding, suffixdedup, tokens
 from candlewick.llm.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixdedup.remove_repeats(table(spark, sf_dir, "documents"), length=100)
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.plan(table(spark, sf_dir, "documents"))
 
@@ -79,6 +90,7 @@ def op10_embedding_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_source_mixing": op2_source_mixing,
     "op3_line_dedup": op3_line_dedup,
     "op4_token_planes": op4_token_planes,
