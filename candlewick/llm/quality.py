@@ -199,6 +199,20 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     return docs.select(*kept).mapInArrow(part, schema)
 
 
+def accept(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of `docs` with a score of at least `threshold`, with their columns."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi in textkit.chunks(batch["text"]):
+                z = shared.value.logits(textkit.as_bytes(batch["text"].slice(lo, hi - lo)))
+                yield batch.slice(lo, hi - lo).filter(pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))) >= threshold))
+
+    return docs.mapInArrow(part, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     """One row in five by the CRC-32 of the doc_id's text, which is never learned from."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
