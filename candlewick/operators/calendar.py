@@ -51,7 +51,7 @@ def missing(bars: DataFrame, sessions: DataFrame) -> DataFrame:
     every = known.select("symbol", F.col("idx").cast("double").alias("idx")).union(placed.select("symbol", "idx"))
     jump = every.withColumn("was", F.lag("idx").over(w)).filter(F.col("idx") - F.col("was") > 1)
     first, last = F.floor(F.col("was")) + 1, F.ceil(F.col("idx")) - 1
-    gaps = jump.filter(first <= last).select("symbol", F.explode(F.sequence(first, last)).cast("int").alias("idx"))
+    gaps = jump.filter(first <= last).select("symbol", F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("idx"))
     return gaps.join(F.broadcast(days), "idx").select("symbol", "session", "idx")
 
 
