@@ -15,13 +15,13 @@ from candlewick.llm.runtime import cut
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of (a, b); the component is its smallest node.  Loops and repeats are fine."""
     both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    both = cut(both.filter("u <> v").distinct())
-    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low")).select("node", F.least("node", "low").alias("label")))
+    both = cut(both.filter("u <> v").distinct(), narrow=True)
+    labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low")).select("node", F.least("node", "low").alias("label")), narrow=True)
     while True:
         seen = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))
         lower = labels.join(seen, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        nxt = cut(lower.join(up, "label").select("node", F.least("label", "above").alias("label"), (F.least("label", "above") < F.col("was")).alias("moved")))
+        nxt = cut(lower.join(up, "label").select("node", F.least("label", "above").alias("label"), (F.least("label", "above") < F.col("was")).alias("moved")), narrow=True)
         moved = nxt.filter("moved").limit(1).count()
         labels = nxt.select("node", "label")
         if not moved:

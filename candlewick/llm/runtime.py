@@ -26,9 +26,15 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
     return f"{shared_dir(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """`df` computed once and kept in the shared folder, so that a lost executor costs no recomputation."""
+def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
+    """`df` computed once and kept in the shared folder, so that a lost executor costs no recomputation.
+
+    `narrow` is for rows of a few bytes that come out of a shuffle: they go to two files per core, not to one per
+    shuffle partition.
+    """
     shared_dir(df.sparkSession)
+    if narrow:
+        df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
     return df.checkpoint(eager=True)
 
 
