@@ -33,7 +33,10 @@ def to_planes(ids: np.ndarray, kind: str = "byte") -> list[bytes]:
 
 def from_planes(planes: list[bytes], n: int, kind: str = "byte") -> np.ndarray:
     if kind == "byte":
-        return np.stack([np.frombuffer(p, np.uint8) for p in planes], 1).copy().view("<u4").reshape(-1)
+        out = np.empty((n, 4), np.uint8)
+        for k, p in enumerate(planes):
+            out[:, k] = np.frombuffer(p, np.uint8)
+        return out.view("<u4").reshape(-1)
     bits = np.stack([np.unpackbits(np.frombuffer(p, np.uint8))[:n] for p in planes], 1)
     return np.ascontiguousarray(np.packbits(bits, axis=1)[:, ::-1]).view("<u4").reshape(-1)
 
@@ -41,7 +44,7 @@ def from_planes(planes: list[bytes], n: int, kind: str = "byte") -> np.ndarray:
 class Writer:
     """Writes documents to a binary sink, in the order in which they are added."""
 
-    def __init__(self, sink, kind: str = "byte", block: int = BLOCK_IDS, level: int = 3):
+    def __init__(self, sink, kind: str = "byte", block: int = BLOCK_IDS, level: int = 1):
         self.sink, self.kind, self.block = sink, kind, block
         self.zstd = zstandard.ZstdCompressor(level=level)
         self.blocks: list[list[int]] = []

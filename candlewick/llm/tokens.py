@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from candlewick.llm.bpe import Encoder
+from candlewick.llm.bpe import CALL_CHARS, Encoder
 from candlewick.llm.planes import Reader, Writer
 from candlewick.llm.runtime import cut, fresh_dir, partitions, small_batches
 
@@ -43,13 +43,11 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = END_ID
         store.create_dir(base, recursive=True)
         own = f"{base}/.writing-{no}-{TaskContext.get().taskAttemptId()}"
         writer, encoder = None, Encoder.load(tokenizer)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for doc_ids, texts in _calls(batches):
             if writer is None:
                 sink = store.open_output_stream(own)
                 writer = Writer(sink, planes)
-            for doc_id, ids in zip(batch["doc_id"].to_pylist(), encoder.encode(batch["text"].to_pylist()), strict=True):
+            for doc_id, ids in zip(doc_ids, encoder.encode(texts), strict=True):
                 writer.add(doc_id, ids + end)
         if writer is not None:
             writer.close()
@@ -64,6 +62,21 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = END_ID
     return cut(dealt.mapInArrow(part, _FILES))
 
 
+def _calls(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str | None]]]:
+    """Documents in lots of about as much text as the encoder takes at once: the more, the more words repeat."""
+    doc_ids, texts, n = [], [], 0
+    for batch in batches:
+        own = batch["text"].to_pylist()
+        doc_ids += batch["doc_id"].to_pylist()
+        texts += own
+        n += sum(len(t) for t in own if t)
+        if n >= CALL_CHARS:
+            yield doc_ids, texts
+            doc_ids, texts, n = [], [], 0
+    if texts:
+        yield doc_ids, texts
+
+
 def read(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) per document, from the files in a list of `write`.
 
