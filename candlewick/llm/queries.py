@@ -11,8 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.llm import decontam, embdedup, htmlmain, linededup, mixing, neardedup, quality, sharding, suffixdedup, tokens
+from candlewick.llm.oracle import ORACLE_SQL
 from candlewick.llm.runtime import table
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
