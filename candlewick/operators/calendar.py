@@ -6,13 +6,15 @@ days, and missing sessions from jumps between a symbol's neighbouring bars on th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from candlewick.config import CONSENSUS_SHARE, CONSENSUS_VOTERS, MARKET_WIDE_SHARE, SUSPENSION_RUN
 from candlewick.operators.splits import session_index
 
-_LINE = Window.partitionBy(F.lit(0)).orderBy("session")
+def _line() -> WindowSpec:
+    """All sessions in order: one row each, a few thousand."""
+    return Window.partitionBy(F.lit(0)).orderBy("session")
 
 
 def spans(bars: DataFrame) -> DataFrame:
@@ -26,7 +28,7 @@ def live(bars: DataFrame) -> DataFrame:
     starts = s.groupBy(F.col("first").alias("session")).agg(F.count(F.lit(1)).alias("starts"))
     ends = s.groupBy(F.col("last").alias("session")).agg(F.count(F.lit(1)).alias("ends"))
     line = days.join(starts, "session", "left").join(ends, "session", "left").fillna(0, ["starts", "ends"])
-    upto = _LINE.rowsBetween(Window.unboundedPreceding, 0)
+    upto = _line().rowsBetween(Window.unboundedPreceding, 0)
     return line.select("session", "present", (F.sum("starts").over(upto) - F.sum("ends").over(upto) + F.col("ends")).alias("live"))
 
 
@@ -71,7 +73,7 @@ def classify(bars: DataFrame, sessions: DataFrame, share: float = MARKET_WIDE_SH
     ends = s.groupBy(F.col("last").alias("session")).agg(F.lit(0).cast("bigint").alias("starts"), F.count(F.lit(1)).alias("ends"))
     marks = days.select("session", F.lit(0).cast("bigint").alias("starts"), F.lit(0).cast("bigint").alias("ends")).union(starts).union(ends)
     daily = marks.groupBy("session").agg(F.sum("starts").alias("starts"), F.sum("ends").alias("ends"))
-    upto = _LINE.rowsBetween(Window.unboundedPreceding, 0)
+    upto = _line().rowsBetween(Window.unboundedPreceding, 0)
     alive = daily.select("session", (F.sum("starts").over(upto) - F.sum("ends").over(upto) + F.col("ends")).alias("live"))
     together = absent.groupBy("session").agg(F.count(F.lit(1)).alias("absent")).join(alive, "session").filter((F.col("live") > 0) & (F.col("absent") / F.col("live") >= share))
     wide = absent.join(F.broadcast(together.select("session", F.lit("market_wide").alias("wide"))), "session", "left")

@@ -6,17 +6,18 @@ that meets both barriers counts for the stop-loss.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from candlewick.config import LABEL_HORIZON, LABEL_TOUCH, LABEL_VARIANTS, PRIMARY_VARIANT, LabelVariant
 
-_W = Window.partitionBy("symbol").orderBy("session")
+def _by_symbol() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("session")
 
 
 def atr_fraction() -> Column:
     """The plain mean of the last 14 true ranges over the close; a symbol's first bar has no true range."""
-    before = F.lag("close").over(_W)
+    before = F.lag("close").over(_by_symbol())
     spread = F.when(before.isNotNull(), F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before)))
     return spread
 
@@ -25,13 +26,13 @@ def with_paths(bars: DataFrame, horizon: int = LABEL_HORIZON) -> DataFrame:
     """`bars` with the path ahead, as returns on the close: `_up` and `_down` by session, `_end`, and `_atr`."""
     ahead = range(1, horizon + 1)
     close = F.nullif(F.col("close"), F.lit(0.0))
-    last14 = _W.rowsBetween(-13, 0)
+    last14 = _by_symbol().rowsBetween(-13, 0)
     df = bars.withColumn("_tr", atr_fraction())
     df = df.withColumn("_atr", F.when(F.count("_tr").over(last14) >= 14, F.avg("_tr").over(last14)) / close)
-    whole = F.count(F.lit(1)).over(_W.rowsBetween(1, horizon)) == horizon
-    up = F.array(*[F.lead("high", k).over(_W) / close - 1 for k in ahead])
-    down = F.array(*[F.lead("low", k).over(_W) / close - 1 for k in ahead])
-    end = F.lead("close", horizon).over(_W) / close - 1
+    whole = F.count(F.lit(1)).over(_by_symbol().rowsBetween(1, horizon)) == horizon
+    up = F.array(*[F.lead("high", k).over(_by_symbol()) / close - 1 for k in ahead])
+    down = F.array(*[F.lead("low", k).over(_by_symbol()) / close - 1 for k in ahead])
+    end = F.lead("close", horizon).over(_by_symbol()) / close - 1
     df = df.withColumn("_up", up).withColumn("_down", down).withColumn("_end", end).withColumn("_whole", whole)
     known = F.col("_whole") & ~F.exists("_up", lambda x: x.isNull()) & ~F.exists("_down", lambda x: x.isNull()) & F.col("_end").isNotNull()
     return df.withColumn("_whole", F.coalesce(known, F.lit(False)))

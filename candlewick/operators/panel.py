@@ -10,20 +10,26 @@ import json
 from collections.abc import Iterable
 from dataclasses import asdict
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from candlewick.config import LABEL_HORIZON, LIQ_MIN_OBSERVATIONS, LIQ_WINDOW, WARMUP_BARS, PanelConfig
 from candlewick.operators.features import features
 from candlewick.operators.labels import label_names, labels
 
-_BY_SYMBOL = Window.partitionBy("symbol").orderBy("session")
-_BY_SESSION = Window.partitionBy("session")
 MARKET = ("D_ret_1d_pct", "D_realvol_20", "D_rsi14", "D_adx14", "D_dist_from_52wh", "D_drawdown_252")
 #: Rows up to which a table of sessions is broadcast; a century of sessions is under 40,000.
 BROADCAST_SESSIONS = 100_000
 
 
+def _by_symbol() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("session")
+
+
+def _by_session() -> WindowSpec:
+    return Window.partitionBy("session")
+
+
 def small(sessions: DataFrame) -> DataFrame:
     """A table with one row per session, broadcast if it is as small as that should be; the size is checked."""
     return F.broadcast(sessions) if sessions.limit(BROADCAST_SESSIONS + 1).count() <= BROADCAST_SESSIONS else sessions
@@ -31,7 +37,7 @@ def small(sessions: DataFrame) -> DataFrame:
 
 def turnover_median(amount: str = "D_dollar_vol", window: int = LIQ_WINDOW, least: int = LIQ_MIN_OBSERVATIONS) -> Column:
     """The symbol's median turnover over its own last bars, this one included."""
-    w = _BY_SYMBOL.rowsBetween(-(window - 1), 0)
+    w = _by_symbol().rowsBetween(-(window - 1), 0)
     return F.when(F.count(amount).over(w) >= least, F.percentile(amount, F.lit(0.5)).over(w))
 
 
@@ -42,19 +48,19 @@ def liquidity_floor(frame: DataFrame, floor: float) -> DataFrame:
 
 def rank_pct(c: str) -> Column:
     """Average-tie percentile rank within the session; null has none and counts for nothing."""
-    lower = F.rank().over(_BY_SESSION.orderBy(F.col(c).asc_nulls_last()))
+    lower = F.rank().over(_by_session().orderBy(F.col(c).asc_nulls_last()))
     ties = F.count(F.lit(1)).over(Window.partitionBy("session", c))
-    return F.when(F.col(c).isNotNull(), (lower + (ties - 1) / F.lit(2.0)) / F.count(c).over(_BY_SESSION))
+    return F.when(F.col(c).isNotNull(), (lower + (ties - 1) / F.lit(2.0)) / F.count(c).over(_by_session()))
 
 
 def z_in_session(c: str, bound: float = 5.0) -> Column:
-    z = (F.col(c) - F.avg(c).over(_BY_SESSION)) / F.nullif(F.stddev_samp(c).over(_BY_SESSION), F.lit(0.0))
+    z = (F.col(c) - F.avg(c).over(_by_session())) / F.nullif(F.stddev_samp(c).over(_by_session()), F.lit(0.0))
     return F.when(z.isNotNull(), F.least(F.greatest(z, F.lit(-bound)), F.lit(bound)))
 
 
 def cross_section(frame: DataFrame, columns: Iterable[str]) -> DataFrame:
     """X_rank_ and X_z_ of every column, and X_universe_size, the rows of the session."""
-    made = {"X_universe_size": F.count(F.lit(1)).over(_BY_SESSION)}
+    made = {"X_universe_size": F.count(F.lit(1)).over(_by_session())}
     for c in columns:
         made[f"X_rank_{c}"] = rank_pct(c)
         made[f"X_z_{c}"] = z_in_session(c)

@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from candlewick.config import ORPHAN_GAP_DAYS, ORPHAN_REMAINING, SPLIT_MIN_MOVE, SPLIT_RATIO_TOLERANCE, SPLIT_RATIOS
 
-_W = Window.partitionBy("symbol").orderBy("session")
+def _by_symbol() -> WindowSpec:
+    return Window.partitionBy("symbol").orderBy("session")
 
 
 def listing_start(bars: DataFrame, gap_days: int = ORPHAN_GAP_DAYS, remaining: int = ORPHAN_REMAINING) -> DataFrame:
     """(symbol, start): the first bar after the last long hole that leaves enough bars; symbols without one are not listed."""
     n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
     marked = bars.select(
-        "symbol", "session", F.datediff("session", F.lag("session").over(_W)).alias("gap"), F.row_number().over(_W).alias("rn"), n.alias("n")
+        "symbol", "session", F.datediff("session", F.lag("session").over(_by_symbol())).alias("gap"), F.row_number().over(_by_symbol()).alias("rn"), n.alias("n")
     )
     return marked.filter((F.col("gap") >= gap_days) & (F.col("n") - F.col("rn") + 1 >= remaining)).groupBy("symbol").agg(F.max("session").alias("start"))
 
@@ -32,10 +33,10 @@ def discontinuities(bars: DataFrame, min_move: float = SPLIT_MIN_MOVE, tolerance
     """
     zero = F.lit(0.0)
     n = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
-    df = bars.select("*", F.lag("close").over(_W).alias("prev_close"), F.lag("volume").over(_W).alias("_pv"), n.alias("_n"))
+    df = bars.select("*", F.lag("close").over(_by_symbol()).alias("prev_close"), F.lag("volume").over(_by_symbol()).alias("_pv"), n.alias("_n"))
     df = df.withColumn("ratio", F.col("prev_close") / F.nullif(F.col("close"), zero))
     df = df.withColumn("_move", F.abs(F.col("close") / F.nullif(F.col("prev_close"), zero) - 1))
-    df = df.withColumn("_after", F.percentile("close", F.lit(0.5)).over(_W.rowsBetween(0, 4)))
+    df = df.withColumn("_after", F.percentile("close", F.lit(0.5)).over(_by_symbol().rowsBetween(0, 4)))
     wide = F.when(F.col("ratio") >= 1, F.col("ratio")).otherwise(1 / F.nullif(F.col("ratio"), zero))
     near = F.element_at(F.filter(F.array(*map(F.lit, ratios)), lambda t: F.abs(wide - t) / t <= tolerance), 1)
     df = df.filter((F.col("_n") >= 3) & (F.col("_move") >= min_move) & (F.col("ratio") > 0))
