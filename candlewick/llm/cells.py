@@ -36,8 +36,8 @@ def deal(rows: DataFrame, group: list[str], row_id: str, block: int) -> DataFram
     )
 
 
-def each(dealt: DataFrame, group: list[str], function: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """Applies `function` to the rows of each cell."""
+def each(dealt: DataFrame, group: list[str], row_id: str, function: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Applies `function` to the rows of each cell, in order of `row_id`, so that a repeated task gives the same."""
     keys = [*CELL, *group]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -58,5 +58,5 @@ def each(dealt: DataFrame, group: list[str], function: Callable[[pa.Table], Iter
         if held:
             yield from function(pa.Table.from_batches(held))
 
-    spread = dealt.repartition(partitions(dealt.sparkSession), *CELL).sortWithinPartitions(*keys)
+    spread = dealt.repartition(partitions(dealt.sparkSession), *CELL).sortWithinPartitions(*keys, row_id)
     return spread.mapInArrow(run, schema)

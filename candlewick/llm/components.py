@@ -14,8 +14,9 @@ from candlewick.llm.runtime import cut
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of (a, b); the component is its smallest node.  Loops and repeats are fine."""
-    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    both = cut(both.filter("u <> v").distinct(), narrow=True)
+    # both directions come from one evaluation: links that are computed anew may be another spanning forest
+    ways = F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v"))))
+    both = cut(links.filter("a <> b").select(ways.alias("x")).select("x.u", "x.v").distinct(), narrow=True)
     labels = cut(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("low")).select("node", F.least("node", "low").alias("label")), narrow=True)
     while True:
         seen = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy(F.col("u").alias("node")).agg(F.min("label").alias("near"))

@@ -144,7 +144,7 @@ def _families(classes: DataFrame, least: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(rep[root[hit]])], names=("a", "b"))
 
     dealt = cells.deal(lists, ["token"], "rep", BLOCK)
-    return components(cells.each(dealt, ["token"], connect, "a long, b long"))
+    return components(cells.each(dealt, ["token"], "rep", connect, "a long, b long"))
 
 
 def _confirm(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -203,7 +203,7 @@ def link(docs: DataFrame, percent: int = 85, shingle: int = 5) -> DataFrame:
 
     members = families.select(F.col("node").alias("rep"), F.col("component").alias("family"))
     texts = rows.withColumnRenamed("doc_id", "rep").join(members, "rep").groupBy("rep", "family").agg(F.max("text").alias("text"))
-    linked = components(cells.each(cells.deal(texts, ["family"], "rep", BLOCK), ["family"], confirm, "a long, b long"))
+    linked = components(cells.each(cells.deal(texts, ["family"], "rep", BLOCK), ["family"], "rep", confirm, "a long, b long"))
 
     copies = classes.filter("last > rep").select("set_id", "rep")
     node = F.coalesce("rep", "doc_id")
