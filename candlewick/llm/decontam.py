@@ -203,7 +203,7 @@ def _find(docs: DataFrame, block: list[tuple[str, bytes]], width: int, slop: int
                 first = np.concatenate(([0], np.cumsum(n_words)[:-1])) if len(n_words) else n_words
                 ends = np.frombuffer(row["ends"], "<i4")
                 at = np.cumsum(np.frombuffer(zlib.decompress(row["postings"]), "<i4"), dtype=np.int64)
-                lists = {t: at[a:b] for t, a, b in zip(np.frombuffer(row["terms"], "<i4").tolist(), [0, *ends[:-1].tolist()], ends.tolist(), strict=True)}
+                lists = {t: at[a:b] for t, a, b in zip(np.frombuffer(row["terms"], "<i4").tolist(), [0, *ends.tolist()], ends.tolist(), strict=False)}
                 edge = np.zeros(len(doc_of) + 1, np.int32)
                 owners: dict[int, set[int]] = defaultdict(set)
                 for w, starts in _search(q, order, lists, doc_of, slop):

@@ -182,7 +182,7 @@ def learn(pages: Iterable[tuple[str, list[str]]]) -> dict[str, float]:
         w = math.log((inside[kind] + 0.5) / (outside[kind] + 0.5))
         word = kind.endswith("word")
         if kind.startswith("other "):
-            weights[kind] = min(max(w, -1.0), -0.5) / 50
+            weights[kind] = min(max(w, -1.0), -0.5) / 500
         else:
             weights[kind] = max(w, 0.5) if kind == "word" else w if word else min(w / 4, -0.001)
     return weights
@@ -195,7 +195,7 @@ def main_text(source: str | None, weights: dict[str, float]) -> str:
     best = total = 0.0
     found, start = (0, 0), 0
     for i, (kind, n, _) in enumerate(page.tokens):
-        total += n * weights.get(kind, -0.02 if kind.startswith("other ") else -0.01)
+        total += n * weights.get(kind, -0.002 if kind.startswith("other ") else -0.01)
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
