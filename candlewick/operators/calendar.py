@@ -54,7 +54,7 @@ def missing(bars: DataFrame, sessions: DataFrame) -> DataFrame:
     jump = every.withColumn("was", F.lag("idx").over(w)).filter(F.col("idx") - F.col("was") > 1)
     first, last = F.floor(F.col("was")) + 1, F.ceil(F.col("idx")) - 1
     gaps = jump.filter(first <= last).select("symbol", F.explode(F.sequence(first.cast("int"), last.cast("int"))).alias("idx"))
-    return gaps.join(F.broadcast(days), "idx").select("symbol", "session", "idx")
+    return gaps.join(days, "idx").select("symbol", "session", "idx")
 
 
 def runs(absent: DataFrame) -> DataFrame:
@@ -76,7 +76,7 @@ def classify(bars: DataFrame, sessions: DataFrame, share: float = MARKET_WIDE_SH
     upto = _line().rowsBetween(Window.unboundedPreceding, 0)
     alive = daily.select("session", (F.sum("starts").over(upto) - F.sum("ends").over(upto) + F.col("ends")).alias("live"))
     together = absent.groupBy("session").agg(F.count(F.lit(1)).alias("absent")).join(alive, "session").filter((F.col("live") > 0) & (F.col("absent") / F.col("live") >= share))
-    wide = absent.join(F.broadcast(together.select("session", F.lit("market_wide").alias("wide"))), "session", "left")
+    wide = absent.join(together.select("session", F.lit("market_wide").alias("wide")), "session", "left")
     own = runs(wide.filter("wide IS NULL").drop("wide")).withColumn("class", F.when(F.col("run_length") >= suspension, "suspension").otherwise("isolated"))
     return own.select("symbol", "session", "idx", "class").union(wide.filter("wide IS NOT NULL").select("symbol", "session", "idx", F.col("wide")))
 
@@ -105,7 +105,7 @@ def gap_summary(found: DataFrame, shown: int = 5) -> DataFrame:
 def peer_sessions(bars: DataFrame, least: int = 2) -> DataFrame:
     """(exchange, session): the sessions of exchanges with at least so many series."""
     many = bars.groupBy("exchange").agg(F.count_distinct("symbol").alias("n")).filter(F.col("n") >= least)
-    return bars.join(F.broadcast(many.select("exchange")), "exchange", "left_semi").select("exchange", "session").distinct()
+    return bars.join(many.select("exchange"), "exchange", "left_semi").select("exchange", "session").distinct()
 
 
 def business_days(spark, first: str, last: str, holidays: DataFrame | None = None) -> DataFrame:
@@ -116,11 +116,12 @@ def business_days(spark, first: str, last: str, holidays: DataFrame | None = Non
 
 def disagreements(a: DataFrame, b: DataFrame) -> DataFrame:
     """(session, only_in): sessions of one calendar that the other lacks, where both have begun and neither has ended."""
-    span = lambda d, p: d.agg(F.min("session").alias(f"{p}lo"), F.max("session").alias(f"{p}hi"))
-    bounds = span(a, "a").crossJoin(span(b, "b"))  # one row each
+    span = lambda d: d.agg(F.min("session").alias("lo"), F.max("session").alias("hi")).first()
+    x, y = span(a), span(b)
+    if x.lo is None or y.lo is None:
+        return a.select("session", F.lit("a").alias("only_in")).filter("false")
     both = a.select("session", F.lit(1).alias("in_a")).distinct().join(b.select("session", F.lit(1).alias("in_b")).distinct(), "session", "full")
-    s = F.col("session")
-    inside = both.join(F.broadcast(bounds), (s >= F.greatest("alo", "blo")) & (s <= F.least("ahi", "bhi")))
+    inside = both.filter(F.col("session").between(F.lit(max(x.lo, y.lo)), F.lit(min(x.hi, y.hi))))
     return inside.filter("in_a IS NULL OR in_b IS NULL").select("session", F.when(F.col("in_a").isNull(), "b").otherwise("a").alias("only_in"))
 
 

@@ -72,7 +72,7 @@ def complete(bars: DataFrame, sessions: DataFrame, classified: DataFrame | None
     upto = Window.partitionBy(F.lit(0)).orderBy("session", "_q").rowsBetween(Window.unboundedPreceding, 0)
     passed = by_last.withColumn("_upto", F.sum(1 - F.col("_q")).over(upto)).filter("_q = 1").select(F.col("session").alias("last"), "_upto")
     absent = calendar.missing(bars, sessions).groupBy("symbol").agg(F.count(F.lit(1)).alias("missing_sessions"))
-    out = s.join(F.broadcast(passed), "last").join(F.broadcast(total), how="left").join(absent, "symbol", "left").fillna(0, ["missing_sessions"])
+    out = s.join(passed, "last").join(F.broadcast(total), how="left").join(absent, "symbol", "left").fillna(0, ["missing_sessions"])
     out = out.withColumn("stale_sessions", F.col("_total") - F.col("_upto"))
     if classified is None:
         out = out.withColumn("defects", F.col("missing_sessions"))

@@ -60,17 +60,19 @@ def roll_calendar(observed: DataFrame) -> DataFrame:
 def roll_marks(bars: DataFrame, expiries: DataFrame) -> DataFrame:
     """`D_roll`: 1 on the first session after an expiry, 0 on later ones, null before the first known expiry.
 
-    Per symbol, the expiries passed by a session are counted on one merged line; where the count grows, there is a roll.
+    How many expiries lie before a session is counted once for all symbols, on one line of sessions and expiries; where
+    that number has grown since a symbol's bar before, the symbol rolls.
     """
-    first = expiries.agg(F.min("expiry").alias("_known"))
-    line = bars.select("symbol", "session", F.lit(0).alias("_e"))
-    events = bars.select("symbol").distinct().join(F.broadcast(expiries.select("expiry").distinct()))
-    merged = line.union(events.select("symbol", "expiry", F.lit(1)))
-    w = Window.partitionBy("symbol").orderBy("session", "_e")  # an expiry counts from the session after it
-    passed = merged.withColumn("_p", F.sum("_e").over(w.rowsBetween(Window.unboundedPreceding, 0))).filter("_e = 0")
-    marked = passed.withColumn("_new", F.col("_p") > F.coalesce(F.lag("_p").over(Window.partitionBy("symbol").orderBy("session")), F.lit(0)))
-    roll = F.when(F.col("session") < F.col("_known"), F.lit(None)).when(F.col("_new"), 1).otherwise(0).cast("tinyint")
-    return bars.join(marked.select("symbol", "session", "_new"), ["symbol", "session"]).join(F.broadcast(first), how="left").withColumn("D_roll", roll).drop("_new", "_known")
+    e = expiries.select(F.col("expiry").alias("session")).distinct().withColumn("_e", F.lit(1))
+    line = e.union(bars.select("session").distinct().withColumn("_e", F.lit(0)))
+    w = Window.partitionBy(F.lit(0)).orderBy("session", "_e").rowsBetween(Window.unboundedPreceding, 0)  # an expiry counts from the next session on
+    passed = line.withColumn("_p", F.sum("_e").over(w)).filter("_e = 0").select("session", "_p")
+    same_day = e.select("session", F.lit(1).alias("_today"))
+    at = bars.join(passed, "session").join(same_day, "session", "left")
+    grown = F.col("_p") > F.coalesce(F.lag("_p").over(_by_symbol()), F.lit(0))
+    known = (F.col("_p") > 0) | F.col("_today").isNotNull()
+    roll = F.when(~known, F.lit(None)).when(grown, 1).otherwise(0).cast("tinyint")
+    return at.withColumn("D_roll", roll).select(*bars.columns, "D_roll")
 
 
 def front_month(instruments: DataFrame, today) -> DataFrame:

@@ -24,13 +24,13 @@ def walk_forward(rows: DataFrame, n_splits: int = N_SPLITS, embargo: int = EMBAR
     found = days.count()
     if found < (n_splits + 1) * (embargo + 10):
         raise ValueError(f"{found} sessions are too few for {n_splits} splits")
-    parts = days.withColumn("part", F.ntile(n_splits + 1).over(Window.partitionBy(F.lit(0)).orderBy("session")))
-    spans = parts.groupBy("part").agg(F.min("session").alias("first"), F.max("session").alias("last"), F.max("idx").alias("last_idx"))
-    start = days.agg(F.min("session").alias("train_start"))
-    folds = spans.filter("part > 1").select((F.col("part") - 1).alias("fold"), F.col("first").alias("test_start"), F.col("last").alias("test_end"))
+    line = Window.partitionBy(F.lit(0))
+    parts = days.withColumn("part", F.ntile(n_splits + 1).over(line.orderBy("session"))).withColumn("train_start", F.min("session").over(line))
+    spans = parts.groupBy("part", "train_start").agg(F.min("session").alias("first"), F.max("session").alias("last"), F.max("idx").alias("last_idx"))
+    folds = spans.filter("part > 1").select((F.col("part") - 1).alias("fold"), "train_start", F.col("first").alias("test_start"), F.col("last").alias("test_end"))
     ends = spans.select(F.col("part").alias("fold"), F.greatest(F.lit(0), F.col("last_idx") - embargo).alias("idx"))
     trained = ends.join(days, "idx").select("fold", F.col("session").alias("train_end"))
-    return folds.join(trained, "fold").crossJoin(start).select(  # of one row
+    return folds.join(trained, "fold").select(
         F.col("fold").cast("int").alias("fold"), "train_start", "train_end", F.lit(embargo).alias("embargo_sessions"), "test_start", "test_end"
     )
 
@@ -71,4 +71,4 @@ def verify(folds: DataFrame, rows: DataFrame, embargo: int = EMBARGO) -> None:
 
 def dense_groups(rows: DataFrame) -> DataFrame:
     """`qid`, the number of a row's session, dense from 0: the groups of a ranking model."""
-    return rows.join(F.broadcast(session_index(rows).withColumnRenamed("idx", "qid")), "session")
+    return rows.join(session_index(rows).withColumnRenamed("idx", "qid"), "session")
