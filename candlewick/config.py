@@ -71,7 +71,7 @@ class Series:
 
     symbol: str
     kind: str = "equity"
-    exchange: str = "NSE"
+    exchange: str = ""
     continuous: bool = False
     has_volume: bool = True
     detect_splits: bool = True

@@ -37,6 +37,45 @@ def layers(names: list[str], text: dict[str, str], given: set[str]) -> tuple[lis
     return [[n for n, d in depth.items() if d == k] for k in range(1, max(depth.values(), default=0) + 1)], used
 
 
+# Columns that repeat others, and columns that codes or later steps stand for.
+DUPLICATES = "D_pivot D_vpoc D_tmr_cpr_bc D_tmr_cpr_tc D_tmr_cpr_vs_today_code D_atr14_to_close_pct".split()
+INTERMEDIATE = "D_nr D_tmr_cpr_vs_today D_cpr_vs_yday D_hh D_hl D_lh D_ll D_structure_trend D_day_type D_golden_regime D_price_and_obv_rising".split()
+#: Flags that may be unknown and stay so.
+TRI_STATE = "D_roll D_vol_surge_20 D_vol_surge_50".split()
+
+
+def finalise(frame: DataFrame) -> DataFrame:
+    """The frame as it is stored: without those columns, flags as bytes with unknown as 0 except where unknown is a state,
+    and no NaN or infinity."""
+    out = []
+    for c, t in frame.dtypes:
+        if c in DUPLICATES or c in INTERMEDIATE:
+            continue
+        x = F.col(c)
+        if t == "boolean" or t == "int" and c.startswith(("D_", "DOW_", "Comb_")):
+            x = x.cast("smallint") if c in TRI_STATE else F.coalesce(x.cast("smallint"), F.lit(0).cast("smallint"))
+        elif t in ("double", "float"):
+            x = F.when(F.abs(x) < float("inf"), x)
+        out.append(x.alias(c))
+    return frame.select(*out)
+
+
+def point_of_control(rows: DataFrame, keys: list[str], bins: int = 50) -> DataFrame:
+    """(keys, vpoc): the middle of the price bin with the most volume, the lowest of equals, over all rows of a key.
+
+    Prices are typical prices; bins split their range.  Without a range it is the price, without volume the range's middle.
+    """
+    p = rows.withColumn("_p", (F.col("high") + F.col("low") + F.col("close")) / 3).filter("_p IS NOT NULL AND volume IS NOT NULL")
+    span = p.groupBy(*keys).agg(F.min("_p").alias("_lo"), F.max("_p").alias("_hi"))
+    width = F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0))
+    binned = p.join(span, keys).withColumn("_b", F.coalesce(F.least(F.floor((F.col("_p") - F.col("_lo")) / width * bins), F.lit(bins - 1)), F.lit(0)))
+    by_bin = binned.groupBy(*keys, "_lo", "_hi", "_b").agg(F.sum("volume").alias("_v"))
+    best = by_bin.groupBy(*keys, "_lo", "_hi").agg(F.max_by("_b", F.struct(F.col("_v"), -F.col("_b"))).alias("_b"), F.sum("_v").alias("_v"))
+    flat = F.col("_hi") - F.col("_lo") <= 1e-9 * F.greatest(F.abs("_lo"), F.abs("_hi"))
+    value = F.when(flat, F.col("_lo")).when(F.col("_v") == 0, (F.col("_lo") + F.col("_hi")) / 2).otherwise(F.col("_lo") + (F.col("_b") + 0.5) * (F.col("_hi") - F.col("_lo")) / bins)
+    return best.select(*keys, value.alias("vpoc"))
+
+
 def weekly_frame(bars: DataFrame) -> DataFrame:
     """Per symbol and week that ends on a Friday, what the weeks before it say; nothing of the week itself.
 

@@ -163,6 +163,29 @@ def upsert(stored: DataFrame, fresh: DataFrame, since, allowed: DataFrame | None
     return old.unionByName(fresh.filter(F.col("session") >= F.lit(since)), allowMissingColumns=True)
 
 
+def refresh(bars: DataFrame, path: str, config: PanelConfig = PanelConfig(), market: DataFrame | None = None, series: dict[str, tuple[DataFrame, int]] | None = None) -> str:
+    """Brings a stored panel up to date: `incremental` where it was built from the same symbols and settings, else `full`.
+
+    An incremental run replaces the months that hold the last `rebuild_days` sessions and what came after; features
+    read whole histories either way, so that both give the same rows.
+    """
+    from candlewick.sources import files
+
+    spark = bars.sparkSession
+    mark = signature(config, universe_hash(bars.select("symbol").distinct()).first()[0])
+    stored = files.read_json(spark, f"{path}_signature")
+    built = build(bars, config, market, series)
+    if stored and stored.get("signature") == mark:
+        last = files.read_panel(spark, path, ["session"]).distinct().orderBy(F.desc("session")).limit(config.rebuild_days).agg(F.min("session")).first()[0]
+        if last is not None:
+            since = last.replace(day=1)
+            files.write_panel(built.filter(F.col("session") >= F.lit(since)), path, dynamic=True)
+            return "incremental"
+    files.write_panel(built, path)
+    files.write_json(spark, {"signature": mark}, f"{path}_signature")
+    return "full"
+
+
 def panel_meta(panel: DataFrame, label: str = "label_tp_before_sl") -> DataFrame:
     return panel.agg(
         F.count(F.lit(1)).alias("rows"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from candlewick.config import LABEL_VARIANTS, PRIMARY_VARIANT, PanelConfig
 from candlewick.operators import contract, labels, metrics, panel, splits
-from candlewick.operators.features import features
+from candlewick.operators.features import features, finalise, point_of_control
 from candlewick.plans.feature_queries import BARS_SQL, duck_round, feature_ctes, rounded
 from candlewick.sources.bars import event_bars, lineitem_bars, market_bars, table
 
@@ -62,6 +62,32 @@ def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, keep=("symbol", "week_end"))
 
 
+@query(
+    "vpoc_month",
+    f"""WITH {BARS_SQL}, p AS (SELECT symbol, CAST(date_trunc('month', session) AS DATE) AS month, (high + low + close) / 3 AS p, volume FROM bars),
+s AS (SELECT symbol, month, min(p) AS lo, max(p) AS hi FROM p GROUP BY 1, 2),
+b AS (SELECT symbol, month, lo, hi, CASE WHEN hi > lo THEN least(floor((p - lo) / (hi - lo) * 50), 49) ELSE 0 END AS b, volume FROM p JOIN s USING (symbol, month)),
+v AS (SELECT symbol, month, lo, hi, b, sum(volume) AS v FROM b GROUP BY 1, 2, 3, 4, 5),
+m AS (SELECT symbol, month, lo, hi, arg_max(b, ROW(v, -b)) AS b FROM v GROUP BY 1, 2, 3, 4)
+SELECT symbol, month, {near("vpoc")} FROM (SELECT symbol, month, CASE WHEN hi - lo <= 1e-9 * greatest(abs(lo), abs(hi)) THEN lo ELSE lo + (b + 0.5) * (hi - lo) / 50 END AS vpoc FROM m)""",
+)
+def vpoc_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    b = lineitem_bars(spark, sf_dir).withColumn("month", F.trunc("session", "MM"))
+    return rounded(point_of_control(b, ["symbol", "month"]), keep=("symbol", "month"))
+
+
+def _final_sql() -> str:
+    names = ["D_inside_day", "D_vol_surge_20", "D_sma5", "D_nr_day"]
+    ctes, last = feature_ctes(names)
+    return f"WITH {ctes} SELECT symbol, session, {near(*names)} FROM {last}"
+
+
+@query("finalised", _final_sql())
+def finalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = features(lineitem_bars(spark, sf_dir), ["D_inside_day", "D_vol_surge_20", "D_sma5", "D_nr_day", "D_hh", "D_day_type"], keep=("symbol", "session"))
+    return rounded(finalise(frame))
+
+
 # labels
 
 _PATH_SQL = f"""{BARS_SQL},

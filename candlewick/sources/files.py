@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import json
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,6 +85,42 @@ def cached_span(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).agg(F.min("session").alias("first"), F.max("session").alias("last"))
 
 
+def write_json(spark: SparkSession, value: dict, path: str) -> None:
+    """One JSON object; the commit protocol makes it all or nothing."""
+    spark.createDataFrame([(json.dumps(value, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def read_json(spark: SparkSession, path: str) -> dict | None:
+    """What `write_json` wrote; None where there is nothing."""
+    try:
+        lines = [r.value for r in spark.read.text(path).collect()]
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return json.loads("\n".join(lines)) if lines else None
+
+
+def file_sha256(spark: SparkSession, path: str) -> DataFrame:
+    """(path, sha256) of files, of at most 2 GB each."""
+    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+
+
+def normalise_range(start: datetime.date, end: datetime.date, today: datetime.date) -> tuple[datetime.date, datetime.date, list[str]]:
+    """A date range in order and not beyond today, and what was changed about it."""
+    notes = []
+    if start > end:
+        start, end = end, start
+        notes.append("start and end were swapped")
+    if end > today:
+        end = today
+        notes.append("the end was set to today")
+    if start > end:
+        start = end
+        notes.append("the start was set to the end")
+    return start, end, notes
+
+
 def json_hash(value) -> str:
     """The first 16 hex digits of the SHA-256 of canonical JSON."""
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()[:16]

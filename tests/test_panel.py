@@ -153,3 +153,27 @@ def test_panel_contract_is_checked(spark, universe):
     for bad, features_, targets in ((ok.union(ok), ["f"], ["t"]), (ok, ["g"], ["t"]), (ok.withColumn("t", F.lit(2)), ["f"], ["t"]), (ok.withColumn("f", F.lit("x")), ["f"], ["t"])):
         with pytest.raises(ValueError):
             files.check_panel(bad, features_, targets)
+
+
+def test_refresh_is_incremental_until_something_changes(spark, universe, tmp_path):
+    path = f"{tmp_path}/refreshed"
+    cut = sorted(r.session for r in universe.select("session").distinct().collect())[-10]
+    assert panel.refresh(universe.filter(F.col("session") < F.lit(cut)), path, config()) == "full"
+    assert panel.refresh(universe, path, config()) == "incremental"
+    want = panel.build(universe, config())
+    key = ["symbol", "session"]
+    a, b = (x.select(*key, *FEW, "X_rank_D_ret_1d_pct", "label_tp_before_sl").toPandas().sort_values(key, ignore_index=True) for x in (want, files.read_panel(spark, path)))
+    pd.testing.assert_frame_equal(a, b, check_exact=True)
+    assert panel.refresh(universe, path, config(floor=1.0)) == "full"
+    assert panel.refresh(universe.filter("symbol <> 'S1'"), path, config(floor=1.0)) == "full"
+    assert files.read_panel(spark, path).filter("symbol = 'S1'").count() == 0
+
+
+def test_small_file_helpers(spark, tmp_path):
+    assert files.read_json(spark, f"{tmp_path}/none") is None
+    files.write_json(spark, {"a": 1}, f"{tmp_path}/one")
+    assert files.read_json(spark, f"{tmp_path}/one") == {"a": 1}
+    start, end, notes = files.normalise_range(day("2024-03-01"), day("2024-01-01"), day("2024-02-01"))
+    assert (start, end, len(notes)) == (day("2024-01-01"), day("2024-02-01"), 2)
+    (tmp_path / "x").write_text("abc")
+    assert files.file_sha256(spark, f"{tmp_path}/x").first().sha256.startswith("ba7816bf")
