@@ -37,7 +37,7 @@ U64 = np.uint64
 Q = 32
 #: Runs of one q-gram that are refined in memory, bytes of text whose runs a task compares among themselves, and runs
 #: that are refined at once.
-MOST_RUNS, LOT_BYTES, AT_ONCE = 100_000, 24 << 20, 20_000
+MOST_RUNS, LOT_BYTES, AT_ONCE = 100_000, 16 << 20, 20_000
 _LAST = (1 << 63) - 1
 _FAMILY = ((U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)), (U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)))
 _RUN = "k long, c1 long, c2 long, doc long, version long, place long, text binary"
@@ -145,6 +145,16 @@ def _refine(table: dict[str, np.ndarray], texts: list[bytes], length: int) -> It
         yield _spans(table["doc"][row[gone[first]]], table["version"][row[gone[first]]], start[gone[first]], count)
 
 
+def _joined(doc: np.ndarray, version: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Removed starts with neighbours of one document made one, of fewer than 2**24 starts each."""
+    by = np.lexsort((start, version, doc))
+    doc, version, start, count = doc[by], version[by], start[by], count[by]
+    new = np.ones(len(by), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (version[1:] != version[:-1]) | (start[1:] != start[:-1] + count[:-1]) | (start[1:] >> 23 != start[:-1] >> 23)
+    first = np.flatnonzero(new)
+    return doc[first], version[first], start[first], np.add.reduceat(count, first)
+
+
 def _spans(doc: np.ndarray, version: np.ndarray, start: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
     """Removed starts [start, start + count)."""
     zero = np.zeros(len(doc), np.int64)
@@ -234,7 +244,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, most_runs: int = MOST_RUN
             by, head = _first_of((table["c1"], table["c2"]), order)
             gone = _later(by, head, order)
             if gone.any():
-                yield _spans(table["doc"][gone], table["version"][gone], order[2][gone], (table["place"][gone] >> 8) & 0xFF)
+                yield _spans(*_joined(table["doc"][gone], table["version"][gone], order[2][gone], (table["place"][gone] >> 8) & 0xFF))
             firsts = np.sort(by[head == np.arange(len(by))])
             if key is None:
                 # q-grams with one run left are done
@@ -258,7 +268,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, most_runs: int = MOST_RUN
             is_span = pc.is_null(batch["text"]).to_numpy(zero_copy_only=False)
             if is_span.any():
                 s = np.flatnonzero(is_span)
-                yield _spans(batch["doc"].to_numpy()[s], batch["version"].to_numpy()[s], batch["place"].to_numpy()[s] >> 8, batch["place"].to_numpy()[s] & 0xFF)
+                yield _spans(batch["doc"].to_numpy()[s], batch["version"].to_numpy()[s], batch["place"].to_numpy()[s] >> 24, batch["place"].to_numpy()[s] & 0xFFFFFF)
                 batch = batch.filter(pa.array(~is_span))
             if not batch.num_rows:
                 continue
@@ -325,7 +335,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, most_runs: int = MOST_RUN
 
 
 def _lot(held: list[tuple[np.ndarray, dict[str, np.ndarray]]], length: int) -> Iterator[pa.RecordBatch]:
-    """Step 1: the first of equal runs with its text, and the others as removed starts (text null, place start << 8 | count)."""
+    """Step 1: the first of equal runs with its text, and the others as removed starts (text null, place start << 24 | count)."""
     table = {c: np.concatenate([t[c] for _, t in held]) for c in held[0][1]}
     buffer = np.repeat(np.arange(len(held)), [len(t["k"]) for _, t in held])
     start, n = table["place"] >> 16, (table["place"] >> 8) & 0xFF
@@ -333,11 +343,10 @@ def _lot(held: list[tuple[np.ndarray, dict[str, np.ndarray]]], length: int) -> I
     by, head = _first_of((table["c1"], table["c2"]), order)
     gone = np.flatnonzero(_later(by, head, order))
     if len(gone):
-        gone = gone[np.lexsort((start[gone], table["version"][gone], table["doc"][gone]))]
-        none = pa.nulls(len(gone), pa.binary())
-        zero = pa.array(np.zeros(len(gone), np.int64))
+        doc, version, at, count = _joined(table["doc"][gone], table["version"][gone], start[gone], n[gone])
+        zero = pa.array(np.zeros(len(doc), np.int64))
         yield pa.RecordBatch.from_arrays(
-            [_signed(textkit.fmix(table["doc"][gone].astype(U64))), zero, zero, pa.array(table["doc"][gone]), pa.array(table["version"][gone]), pa.array(start[gone] << 8 | n[gone]), none],
+            [_signed(textkit.fmix(doc.astype(U64))), zero, zero, pa.array(doc), pa.array(version), pa.array(at << 24 | count), pa.nulls(len(doc), pa.binary())],
             names=("k", "c1", "c2", "doc", "version", "place", "text"),
         )
     first = np.sort(by[head == np.arange(len(by))])
