@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from candlewick.config import CONSENSUS_SHARE, CONSENSUS_VOTERS, MARKET_WIDE_SHARE, SUSPENSION_RUN
 from candlewick.operators.splits import session_index
+from candlewick.sources.stage import staged
 
 def _line() -> WindowSpec:
     """All sessions in order: one row each, a few thousand."""
@@ -66,8 +67,9 @@ def runs(absent: DataFrame) -> DataFrame:
 
 def classify(bars: DataFrame, sessions: DataFrame, share: float = MARKET_WIDE_SHARE, suspension: int = SUSPENSION_RUN) -> DataFrame:
     """`missing` with `class`: market_wide where many are absent together, suspension in long runs, else isolated."""
-    absent = missing(bars, sessions)
-    days = session_index(sessions)
+    bars = staged(bars.select("symbol", "session").distinct())
+    days = staged(session_index(sessions))
+    absent = staged(missing(bars, days))
     s = spans(bars)
     starts = s.groupBy(F.col("first").alias("session")).agg(F.count(F.lit(1)).alias("starts"), F.lit(0).cast("bigint").alias("ends"))
     ends = s.groupBy(F.col("last").alias("session")).agg(F.lit(0).cast("bigint").alias("starts"), F.count(F.lit(1)).alias("ends"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from candlewick.config import MAX_MISSING_SESSIONS, MAX_STALE_SESSIONS
 from candlewick.operators import calendar, repair
+from candlewick.sources.stage import staged
 
 _NEAR = 1e-9
 
@@ -132,6 +133,7 @@ def verified(bars: DataFrame, meta: DataFrame, schema_version: str | None = None
 
 def gate(bars: DataFrame, sessions: DataFrame, classified: DataFrame | None = None, meta: DataFrame | None = None, trusted: bool = True) -> DataFrame:
     """(symbol, complete, valid, consistent, verified, status, reasons) for every symbol."""
+    bars, sessions = staged(bars), staged(sessions.select("session").distinct())
     a = complete(bars, sessions, classified, trusted).select("symbol", "complete", F.col("reasons").alias("r1"))
     b = valid(bars).select("symbol", "valid", F.col("reasons").alias("r2"))
     c = consistent(bars).select("symbol", "consistent", F.col("reasons").alias("r3"))

@@ -13,6 +13,7 @@ from candlewick.operators.features import features
 from candlewick.plans.feature_queries import BARS_SQL, rounded
 from candlewick.plans.panel_queries import _PRIMARY_SQL, _scored
 from candlewick.sources.bars import lineitem_bars, table
+from candlewick.sources.stage import staged
 from candlewick.streaming import ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -102,7 +103,8 @@ def audit_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("daily_report")
 def daily_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = lineitem_bars(spark, sf_dir)
-    days = bars.select("session").distinct()
+    bars = staged(bars)
+    days = staged(bars.select("session").distinct())
     gated = gate.gate(bars, days, calendar.classify(bars, days, 0.85))
     return report.collect(spark, gated, panel.panel_meta(labels.labels(bars)), contract.static_leaks())
 

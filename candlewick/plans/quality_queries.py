@@ -13,6 +13,7 @@ from candlewick.operators import calendar, gate, repair
 from candlewick.plans.feature_queries import BARS_SQL, duck_round, rounded
 from candlewick.sources import text
 from candlewick.sources.bars import lineitem_bars, table
+from candlewick.sources.stage import staged
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -59,7 +60,7 @@ def consensus_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("session_gaps", f"WITH {_SPANS_SQL} SELECT symbol, count(*) AS missing, min(session) AS first_missing, max(session) AS last_missing FROM absent GROUP BY 1")
 def session_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = calendar.missing(_bars(spark, sf_dir), _days(spark, sf_dir))
+    found = calendar.missing(staged(_bars(spark, sf_dir).select("symbol", "session")), staged(_days(spark, sf_dir)))
     return found.groupBy("symbol").agg(F.count(F.lit(1)).alias("missing"), F.min("session").alias("first_missing"), F.max("session").alias("last_missing"))
 
 
@@ -78,7 +79,7 @@ def absence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 g AS (SELECT *, sum(CAST(fresh AS INT)) OVER (PARTITION BY symbol ORDER BY session) AS g FROM m)
 SELECT symbol, min(session) AS first, max(session) AS last, count(*) AS n FROM g GROUP BY symbol, g""")
 def gap_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calendar.date_runs(calendar.missing(_bars(spark, sf_dir), _days(spark, sf_dir)))
+    return calendar.date_runs(calendar.missing(staged(_bars(spark, sf_dir).select("symbol", "session")), staged(_days(spark, sf_dir))))
 
 
 @query("gap_summary", f"""WITH {_SPANS_SQL}, m AS (SELECT symbol, session, coalesce(date_diff('day', lag(session) OVER w, session) > 4, true) AS fresh FROM absent WINDOW w AS (PARTITION BY symbol ORDER BY session)),
@@ -87,7 +88,7 @@ r AS (SELECT symbol, min(session) AS a, max(session) AS b FROM g GROUP BY symbol
 t AS (SELECT symbol, count(*) AS n_gaps, list(CASE WHEN a = b THEN CAST(a AS VARCHAR) ELSE CAST(a AS VARCHAR) || '..' || CAST(b AS VARCHAR) END ORDER BY a) AS x FROM r GROUP BY 1)
 SELECT symbol, n_gaps, array_to_string(x[1:5], ', ') || CASE WHEN n_gaps > 5 THEN ' +' || CAST(n_gaps - 5 AS VARCHAR) || ' more' ELSE '' END AS summary FROM t""")
 def gap_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calendar.gap_summary(calendar.date_runs(calendar.missing(_bars(spark, sf_dir), _days(spark, sf_dir))))
+    return calendar.gap_summary(calendar.date_runs(calendar.missing(staged(_bars(spark, sf_dir).select("symbol", "session")), staged(_days(spark, sf_dir)))))
 
 
 @query("peer_sessions", f"""WITH {BARS_SQL}, x AS (SELECT s_nationkey AS exchange, symbol, session FROM bars JOIN supplier ON s_suppkey = symbol)
@@ -156,7 +157,7 @@ _COMPLETE_SQL = f"""{_SPANS_SQL}, c AS (SELECT symbol, lo AS first, hi AS last,
 
 @query("gate_complete", f"WITH {_COMPLETE_SQL} SELECT symbol, first, last, rows, missing_sessions, stale_sessions, defects, stale_sessions <= 1 AND defects <= 3 AS complete FROM c")
 def gate_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b, d = _bars(spark, sf_dir), _days(spark, sf_dir)
+    b, d = staged(_bars(spark, sf_dir)), staged(_days(spark, sf_dir))
     return gate.complete(b, d, calendar.classify(b, d, WIDE)).drop("reasons")
 
 
@@ -178,7 +179,7 @@ def split_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("gate_status", f"""WITH {_COMPLETE_SQL}, {_SPLIT_SQL}, g AS (SELECT symbol, stale_sessions <= 1 AND defects <= 3 AS complete, symbol NOT IN (SELECT symbol FROM suspects) AS consistent FROM c)
 SELECT symbol, complete, true AS valid, consistent, CASE WHEN complete AND consistent THEN 'PASS_UNVERIFIED' ELSE 'QUARANTINE' END AS status FROM g""")
 def gate_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b, d = _bars(spark, sf_dir), _days(spark, sf_dir)
+    b, d = staged(_bars(spark, sf_dir)), staged(_days(spark, sf_dir))
     return gate.gate(b, d, calendar.classify(b, d, WIDE)).drop("reasons", "verified")
 
 
