@@ -37,7 +37,9 @@ U64 = np.uint64
 Q = 32
 #: Runs of one q-gram that are refined in memory, bytes of text whose runs a task compares among themselves, and runs
 #: that are refined at once.
-MOST_RUNS, LOT_BYTES, AT_ONCE = 100_000, 16 << 20, 20_000
+MOST_RUNS, LOT_BYTES, AT_ONCE = 100_000, 16 << 20, 10_000
+#: Bytes of text whose suffixes are bucketed at once.
+CHUNK = 1 << 20
 _LAST = (1 << 63) - 1
 _FAMILY = ((U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F)), (U64(0xD6E8FEB86659FD93), U64(0xA0761D6478BD642F)))
 _RUN = "k long, c1 long, c2 long, doc long, version long, place long, text binary"
@@ -197,7 +199,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, most_runs: int = MOST_RUN
     words = bloom.words_for(n_bytes * 2 // (length - Q + 2), bits_per_key=8)
 
     def q_grams(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for lo, hi in textkit.chunks(batch["text"]):
+        for lo, hi in textkit.chunks(batch["text"], CHUNK):
             own = textkit.as_bytes(batch["text"].slice(lo, hi - lo))
             raw, start, _ = textkit.buffer(own)
             yield runs(own, Buckets(raw, 0, Q), raw, start, length)[0]
@@ -209,7 +211,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, most_runs: int = MOST_RUN
         size = 0
         for batch in batches:
             docs_, versions = batch["doc"].to_numpy(), batch["version"].to_numpy()
-            for lo, hi in textkit.chunks(batch["text"]):
+            for lo, hi in textkit.chunks(batch["text"], CHUNK):
                 own = textkit.as_bytes(batch["text"].slice(lo, hi - lo))
                 raw, start, _ = textkit.buffer(own)
                 one = Buckets(raw, 0)
