@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces kept per worker and generation: a full cache becomes the older one, from which pieces come back when they are met.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 300_000
 #: Texts' characters and pieces that go through the library in one call.
 CALL_CHARS, CALL_PIECES = 8 << 20, 4_000
 _MARKS = ".,!?;:%&*#$|"

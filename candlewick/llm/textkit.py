@@ -17,7 +17,7 @@ U64 = np.uint64
 _R = 0x9E3779B97F4A7C15 | 1
 _R_INV = pow(_R, -1, 1 << 64)
 #: Bytes of text handled at once; working arrays take about 60 times as much.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def _table(seed: int) -> np.ndarray:

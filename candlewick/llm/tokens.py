@@ -49,6 +49,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = END_ID
                 writer = Writer(sink, planes)
             for doc_id, ids in zip(doc_ids, encoder.encode(texts), strict=True):
                 writer.add(doc_id, ids + end)
+        encoder.older.clear()  # the worker goes on to other work
         if writer is not None:
             writer.close()
             sink.close()
