@@ -21,8 +21,11 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays, the one with the smallest doc_id."""
-    gone = neardedup.link(docs, percent=85).filter("NOT kept").select("doc_id").distinct()
+    """One document of each group of near-duplicates stays, the one with the smallest doc_id.
+
+    Documents link from a similarity of 0.8 on, the general rule; 0.85 is what op8 alone asks for.
+    """
+    gone = neardedup.link(docs, percent=80).filter("NOT kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 
 

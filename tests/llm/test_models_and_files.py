@@ -172,3 +172,17 @@ def test_pipeline_survives_odd_documents(spark, tmp_path):
         for _, stage in p.STAGES:
             part = stage(spark, part, SF)
         part.collect()
+
+
+def test_pipeline_drops_near_duplicates_from_a_similarity_of_four_fifths(spark):
+    import corpus_pipeline as p
+    from tests.llm import brute
+
+    base = [f"w{i}" for i in range(150)]
+    changed = lambda *at: " ".join("x" if i in at else w for i, w in enumerate(base))
+    rows = [(1, changed()), (2, changed(20, 60, 100)), (3, changed(20, 40, 60, 80, 100, 120))]
+    a, b, c = (brute.shingles(t) for _, t in rows)
+    assert 0.8 <= len(a & b) / len(a | b) < 0.85 and max(len(a & c) / len(a | c), len(b & c) / len(b | c)) < 0.85
+    got = {r.doc_id for r in p.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
+    near = brute.near(rows, percent=80)
+    assert got == {d for d, first in near.items() if d == first} and 2 not in got
