@@ -236,6 +236,22 @@ def test_embeddings(spark, monkeypatch):
     assert embdedup.link(df.filter("false")).collect() == []
 
 
+def test_embedding_links_at_the_limit_are_found(spark):
+    """Pairs by cosine band: by construction, each vector has one link."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(2_400, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.normal(size=x.shape)
+    off -= (off * x).sum(1, keepdims=True) * x
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    cosine = np.repeat([0.931, 0.94, 0.96], 800)[:, None]
+    pairs = np.stack([x, cosine * x + np.sqrt(1 - cosine**2) * off], 1)
+    rows = [(2 * i + j, [float(v) for v in pair[j]], 0) for i, pair in enumerate(pairs) for j in (0, 1)]
+    got = {r.vec_id: r.n_links for r in embdedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    for band in range(3):
+        assert np.mean([got[2 * i] for i in range(800 * band, 800 * (band + 1))]) > 0.995, band
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (5, 5), (101, 100)] + [(500, i) for i in range(501, 560)]
     got = {r.node: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
