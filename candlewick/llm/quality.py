@@ -30,13 +30,12 @@ U64 = np.uint64
 
 @dataclass(frozen=True)
 class Config:
-    """max_rows bounds the labelled rows learned from, and with max_features the memory of training."""
+    """max_rows bounds the labelled rows learned from, and so the memory of training: 8 bytes per distinct feature of a row."""
 
     buckets: int = 1 << 18
     dim: int = 12
     ngrams: tuple[int, ...] = (2, 4)
     max_rows: int = 6_000
-    max_features: int = 4_000
     epochs: int = 6
     rate: float = 4.0
     seed: int = 3
@@ -120,10 +119,10 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, int]], config: Config) ->
     out = np.zeros((2, config.dim), np.float32)
     out_bias = np.array([-base / 2, base / 2], np.float32)
     steps, step = config.epochs * len(samples), 0
-    shares = [(i, (c / max(1, c.sum())).astype(np.float32), y) for i, c, y in samples]
     for _ in range(config.epochs):
-        for k in rng.permutation(len(shares)).tolist():
-            at, share, y = shares[k]
+        for k in rng.permutation(len(samples)).tolist():
+            at, c, y = samples[k]
+            share = (c / max(1, c.sum())).astype(np.float32)
             rate = config.rate * (1 - step / steps)
             step += 1
             own = vectors[at]
@@ -143,8 +142,8 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, int]], config: Config) ->
 def fit(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Model:
     """Learns from (doc_id, text) and (doc_id, label), from at most config.max_rows labelled rows.
 
-    The sample is the labelled rows whose hashed doc_id is smallest.  Executors turn it into feature counts; a row of
-    more than config.max_features distinct features brings a hash-chosen part of them.
+    The sample is the labelled rows whose hashed doc_id is smallest.  Executors turn it into feature counts, of whole
+    texts.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -163,9 +162,6 @@ def fit(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Model:
             for lo, hi in textkit.chunks(batch["text"]):
                 at, n = [], []
                 for i, c in counts(textkit.as_bytes(batch["text"].slice(lo, hi - lo)), config):
-                    if len(i) > config.max_features:
-                        part = np.argsort(textkit.fmix(i.astype(U64)))[: config.max_features]
-                        i, c = i[part], c[part]
                     at.append(i.astype("<i4").tobytes())
                     n.append(c.astype("<i4").tobytes())
                 yield pa.RecordBatch.from_arrays(

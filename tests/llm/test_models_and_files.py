@@ -186,3 +186,13 @@ def test_pipeline_drops_near_duplicates_from_a_similarity_of_four_fifths(spark):
     got = {r.doc_id for r in p.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()}
     near = brute.near(rows, percent=80)
     assert got == {d for d, first in near.items() if d == first} and 2 not in got
+
+
+def test_classifier_learns_from_all_features_of_a_long_text(spark, monkeypatch):
+    rng = random.Random(8)
+    long = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(3_000))
+    monkeypatch.setattr(quality, "train", lambda samples, config: samples)
+    d, labels = (spark.createDataFrame(r, s) for r, s in (([(1, long), (2, "short text")], "doc_id long, text string"), ([(1, 1), (2, 0)], "doc_id long, label int")))
+    (at, n, _), _ = sorted(quality.fit(d, labels), key=lambda s: -len(s[0]))
+    ((want, count),) = quality.counts([long.encode()], quality.Config())
+    assert len(want) > 4_000 and at.tolist() == want.tolist() and n.tolist() == count.tolist()
