@@ -9,7 +9,7 @@ exact phrase matches.  With `slop`, terms may also stand up to so many tokens of
 Words are runs of 0-9, a-z and characters beyond ASCII after A-Z is lower-cased.  Terms are compared by two 64-bit
 hashes.  A window is `width` consecutive words of an item; an item with fewer, but not none, is one window.  Defined
 results: a null or empty text has no words; an item without words has no window; items whose item_id is null are
-left out; repeated items count once; repeated documents are judged one by one; an empty table on either side gives no
+left out, or with `unnamed` searched for like others, only that no id of theirs is listed; repeated items count once; repeated documents are judged one by one; an empty table on either side gives no
 matches.  Columns beside doc_id, text and item_id are not read.
 """
 
@@ -46,7 +46,7 @@ def words(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 class Queries:
     """The windows of a block of the benchmark, as arrays of term numbers."""
 
-    def __init__(self, items: list[tuple[str, bytes]], width: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], width: int):
         a, b, first, count = words([t for _, t in items])
         pairs = np.stack([a, b], 1)
         terms, number = np.unique(pairs, axis=0, return_inverse=True) if len(pairs) else (pairs, np.zeros(0, int))
@@ -144,16 +144,17 @@ def _search(q: Queries, order: list[list[int]], lists: dict[int, np.ndarray], do
                 yield w, starts
 
 
-def find(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 0) -> DataFrame:
+def find(docs: DataFrame, items: DataFrame, width: int = 10, slop: int = 0, unnamed: bool = False) -> DataFrame:
     """(doc_id, n_words, spans, items) per document: spans are the hit words' ranges [start, end) in ascending order,
     disjoint, and items are the ids, as strings, of the items with windows that occur, sorted."""
     spark = docs.sparkSession
     small_batches(spark)
-    known = items.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
+    named = items if unnamed else items.filter("item_id is not null")
+    known = named.select(F.col("item_id").cast("string").alias("item_id"), "text").distinct()
     keyed = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("_key"))
     by_key = keyed.select(F.col("_key").alias("doc_id"), "text")
     parts: list[DataFrame] = []
-    block: list[tuple[str, bytes]] = []
+    block: list[tuple[str | None, bytes]] = []
     size = 0
     for row in known.toLocalIterator():
         text = (row.text or "").encode()
@@ -185,9 +186,9 @@ def _merged(keyed: DataFrame, parts: list[DataFrame]) -> DataFrame:
     return keyed.select("doc_id", "_key").join(gathered.select("_key", "n_words", spans.alias("spans"), "items"), "_key").drop("_key")
 
 
-def _find(docs: DataFrame, block: list[tuple[str, bytes]], width: int, slop: int) -> DataFrame:
+def _find(docs: DataFrame, block: list[tuple[str | None, bytes]], width: int, slop: int) -> DataFrame:
     spark = docs.sparkSession
-    q = Queries(sorted(block), width)
+    q = Queries(sorted(block, key=lambda x: (x[0] is not None, x[0] or "", x[1])), width)
     shared = spark.sparkContext.broadcast(q)
     index = cut(_blocks(docs, shared))
     rarity = _frequencies(index, len(q.first_hash))
@@ -226,7 +227,7 @@ def _find(docs: DataFrame, block: list[tuple[str, bytes]], width: int, slop: int
                         pa.array(row["doc_ids"], pa.int64()),
                         pa.array(row["n_words"], pa.int64()),
                         pa.array([[{"start": s, "end": e} for s, e in spans.get(d, [])] for d in range(n)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                        pa.array([sorted({q.items[i] for i in owners.get(d, ())}) for d in range(n)], pa.list_(pa.string())),
+                        pa.array([sorted({q.items[i] for i in owners.get(d, ()) if q.items[i] is not None}) for d in range(n)], pa.list_(pa.string())),
                     ],
                     names=("doc_id", "n_words", "spans", "items"),
                 )

@@ -60,7 +60,7 @@ def op5_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_benchmark_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+    found = decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10, unnamed=True)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s.end - s.start)
     return found.select(
         "doc_id",

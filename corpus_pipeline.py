@@ -32,7 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold ten consecutive words of a benchmark item, or a whole shorter item, go."""
     key = F.xxhash64("doc_id", "text")
-    found = decontam.find(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), width=10)
+    found = decontam.find(docs.select(key.alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"), width=10, unnamed=True)
     hit = found.filter(F.size("spans") > 0).select(F.col("doc_id").alias("_hit")).distinct()
     return docs.join(hit, key == F.col("_hit"), "left_anti")
 

@@ -196,3 +196,15 @@ def test_classifier_learns_from_all_features_of_a_long_text(spark, monkeypatch):
     (at, n, _), _ = sorted(quality.fit(d, labels), key=lambda s: -len(s[0]))
     ((want, count),) = quality.counts([long.encode()], quality.Config())
     assert len(want) > 4_000 and at.tolist() == want.tolist() and n.tolist() == count.tolist()
+
+
+def test_benchmark_items_without_an_id_are_searched_for(spark, tmp_path):
+    import corpus_pipeline as p
+
+    passage = "one two three four five six seven eight nine ten eleven"
+    docs = spark.createDataFrame([(1, f"before {passage} after"), (2, "nothing of that"), (3, "alpha beta")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(None, passage), (7, "alpha beta")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in QUERIES["op6_benchmark_phrases"](spark, str(tmp_path)).collect()}
+    assert got == {1: (11, 0, True), 2: (0, 0, False), 3: (2, 1, True)}
+    assert [r.doc_id for r in p.drop_contaminated(spark, docs, str(tmp_path)).collect()] == [2]
