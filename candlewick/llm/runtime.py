@@ -11,10 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Where the session names none, as in tests on one machine, a folder is made and set.
+    Where the session names none, a folder is made and set if all runs on one machine, as in tests; on a cluster there
+    is no folder that could be guessed, and the setting is asked for.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = "file://" + tempfile.mkdtemp(prefix="candlewick-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(named)
@@ -27,15 +30,17 @@ def fresh_dir(spark: SparkSession, kind: str) -> str:
 
 
 def cut(df: DataFrame, narrow: bool = False) -> DataFrame:
-    """`df` computed once and kept in the shared folder, so that a lost executor costs no recomputation.
+    """`df` computed once and kept as a table in the shared folder, so that a lost executor costs no recomputation.
 
-    `narrow` is for rows of a few bytes that come out of a shuffle: they go to two files per core, not to one per
-    shuffle partition.
+    What reads the table starts from a plan of its own: no lineage and no constraints of the plan before, which would
+    grow from round to round in a loop.  `narrow` is for rows of a few bytes that come out of a shuffle: they go to two
+    files per core at most, not to one per shuffle partition.
     """
-    shared_dir(df.sparkSession)
+    path = fresh_dir(df.sparkSession, "cut")
     if narrow:
         df = df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
-    return df.checkpoint(eager=True)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:
