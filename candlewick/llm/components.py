@@ -6,6 +6,7 @@ grow with the logarithm of the graph's diameter.  Labels are written to the shar
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,3 +28,17 @@ def components(links: DataFrame) -> DataFrame:
         labels = nxt.select("node", "label")
         if not moved:
             return labels.select("node", F.col("label").alias("component"))
+
+
+def roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member of each of n nodes' component under the links (a, b), in memory."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        nxt = label.copy()
+        np.minimum.at(nxt, a, low)
+        np.minimum.at(nxt, b, low)
+        nxt = nxt[nxt]
+        if (nxt == label).all():
+            return label
+        label = nxt

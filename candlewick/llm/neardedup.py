@@ -3,22 +3,32 @@
 A document's signature has `coordinates` MinHash values; each coordinate-value pair is a token under which the document
 is posted.  Two documents whose shingle sets have a Jaccard similarity of the threshold agree in a binomial number of
 coordinates, so pairs below a match threshold some 4.5 standard deviations under its mean are let go (a chance below
-1e-5 for a pair right at the threshold).  Tokens are ordered by their number of postings, rarest first: signatures that
-share `t` of `k` tokens share one among the first k - t + 1 of each, so only these are posted, and documents with fewer
-than `t` repeated tokens are skipped altogether.  A Bloom pair keeps tokens that occur once from being shuffled.
+1e-5 for a pair right at the threshold).  Tokens have one order, rare ones first as far as a table of counters of fixed
+size tells: signatures that share `t` of `k` tokens share one among the first k - t + 1 of each, so only this prefix is
+posted, and what is posted under a token once is skipped.  The other coordinates are only looked at for candidates.
 
-Inside a posting list collisions are counted by blocks of signatures.  What matches connects documents to families;
-the texts of a family meet in cells of bounded size, where pairs are confirmed on their full shingle sets, most
-collisions first, and pairs that are connected already are skipped.  Cells return spanning forests, never all pairs.
+1. Lists are merged: every member is a candidate with its list's first member, once however many lists they share; a
+   candidate's collisions are counted over all coordinates, and what matches connects documents to families.
+2. In lists whose members are in several families, those outside the largest meet all others, in cells of bounded size.
+   Collisions are counted there coordinate by coordinate, and pairs that can no longer reach the threshold are skipped.
+3. Links are confirmed on full shingle sets, most collisions first; pairs that are connected already are skipped.  The
+   texts of a family are dealt once into blocks, and its first text goes into each; of a family that is not one
+   component after that, the documents outside the largest component meet all others in cells of bounded size.
+
+So a group of a third of all rows costs work in proportion to its size as long as most of it is one component.  Cells
+return spanning forests, never all pairs.
 
 Words are what 0x20 and 0x09-0x0D separate, A-Z lower-cased; a set is the distinct shingles of five words, as 64-bit
-hashes; fewer words are one shingle.  Equal sets are one class from the start.  Defined results: a null, empty or blank
-text has no shingles and links with nothing; rows of one doc_id are one node; a row whose doc_id is null links with
-nothing, has no component and is kept; an empty table gives an empty result.  Other columns are not read.
+hashes; fewer words are one shingle.  Equal sets are one node from the start, and the sets of one doc_id are linked with
+each other.  Defined results: a null, empty or blank text has no shingles and links with nothing, but belongs to where
+its doc_id's other rows belong; a pair exactly at the threshold is linked; a row whose doc_id is null links with
+nothing, has no component and is kept; a text of any length is one set, held in memory by the task that handles it; an
+empty table gives an empty result.  Other columns are not read.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,14 +37,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.llm import bloom, cells, textkit
-from candlewick.llm.components import components
-from candlewick.llm.embdedup import _roots
-from candlewick.llm.runtime import cut, small_batches
+from candlewick.llm import cells, textkit
+from candlewick.llm.components import components, roots
+from candlewick.llm.runtime import cut, partitions, small_batches
 
 U64 = np.uint64
 COORDINATES = 64
 BLOCK = 1_024
+#: Counters by which tokens are ordered; postings of one token that a task merges, beyond what the counters hold on average.
+COUNTERS, LIST_ROWS = 1 << 18, 1_000_000
 _MULTIPLIERS = np.random.default_rng(808).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -55,7 +66,7 @@ def match_threshold(percent: int, k: int = COORDINATES) -> int:
 
 
 def _describe(rows: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, n_shingles, set_id, signature) per row."""
+    """(doc_id, version, n_shingles, set_id, signature) per row; `version` is a hash of the text."""
 
     def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,84 +78,175 @@ def _describe(rows: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch["doc_id"].slice(lo, n),
+                        batch["version"].slice(lo, n),
                         pa.array(np.diff(at)),
                         pa.array(ids, pa.binary()),
                         pa.array([x.tobytes() for x in sig], pa.binary()),
                     ],
-                    names=("doc_id", "n_shingles", "set_id", "signature"),
+                    names=("doc_id", "version", "n_shingles", "set_id", "signature"),
                 )
 
-    return rows.mapInArrow(part, "doc_id long, n_shingles long, set_id binary, signature binary")
+    return rows.mapInArrow(part, "doc_id long, version long, n_shingles long, set_id binary, signature binary")
 
 
-def _tokens(batch: pa.RecordBatch) -> np.ndarray:
-    """A row of tokens per document: coordinate and value."""
-    sig = np.frombuffer(b"".join(batch["signature"].to_pylist()), np.uint32).reshape(batch.num_rows, COORDINATES)
-    return sig.astype(np.int64) | (np.arange(COORDINATES, dtype=np.int64) << 32)
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A row of coordinates per signature."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), COORDINATES)
 
 
-def _collide(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """How many coordinates each row of `a` has in common with each row of `b`."""
-    out = np.zeros((len(a), len(b)), np.uint8)
-    for k in range(COORDINATES):
-        out += a[:, k][:, None] == b[:, k][None, :]
-    return out
+def _tokens(column: pa.Array) -> np.ndarray:
+    """A row of tokens per document: coordinate and value."""
+    return _matrix(column).astype(np.int64) | (np.arange(COORDINATES, dtype=np.int64) << 32)
 
 
-def _sides(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
-    second = cell["_second"].to_numpy()
-    two = cell["_i"][0].as_py() != cell["_j"][0].as_py()
-    every = np.arange(cell.num_rows)
-    return (np.flatnonzero(~second), np.flatnonzero(second), True) if two else (every, every, False)
+def _slots(tokens: np.ndarray) -> np.ndarray:
+    return (textkit.fmix(tokens.astype(U64)) & U64(COUNTERS - 1)).astype(np.int64)
 
 
-def _matches(sig: np.ndarray, left: np.ndarray, right: np.ndarray, two: bool, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n = _collide(sig[left], sig[right])
-    a, b = np.nonzero(n >= least)
-    n = n[a, b]
-    a, b = left[a], right[b]
-    if not two:
-        once = a < b
-        a, b, n = a[once], b[once], n[once]
-    return a, b, n
+def _counters(classes: DataFrame) -> np.ndarray:
+    """How many tokens fall on each counter, over all documents: a table of fixed size, merged by its segments."""
+    width = COUNTERS >> 6
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(COUNTERS, np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                total += np.bincount(_slots(_tokens(batch["signature"])).reshape(-1), minlength=COUNTERS)
+        if total.any():
+            own = [zlib.compress(x.astype("<i8").tobytes(), 1) for x in total.reshape(-1, width)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own), dtype=np.int32)), pa.array(own, pa.binary())], names=("seg", "n"))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for seg, n in zip(batch["seg"].to_pylist(), batch["n"].to_pylist(), strict=True):
+                own = np.frombuffer(zlib.decompress(n), "<i8")
+                total[seg] = total[seg] + own if seg in total else own
+        for seg, n in total.items():
+            yield pa.RecordBatch.from_pydict({"seg": pa.array([seg], pa.int32()), "n": pa.array([zlib.compress(n.astype("<i8").tobytes(), 1)], pa.binary())})
+
+    schema = "seg int, n binary"
+    merged = classes.select("signature").mapInArrow(count, schema).repartition(partitions(classes.sparkSession), "seg").mapInArrow(merge, schema)
+    out = np.zeros((64, width), np.int64)
+    for row in merged.toLocalIterator():
+        out[row.seg] = np.frombuffer(zlib.decompress(bytes(row.n)), "<i8")
+    return out.reshape(-1)
 
-def _families(classes: DataFrame, least: int) -> DataFrame:
-    """(node, component): documents connected by signatures that match."""
-    spark = classes.sparkSession
-    words = bloom.words_for(classes.count() * COORDINATES)
 
-    def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        yield textkit.fmix(_tokens(batch).reshape(-1).astype(U64))
+def _lists(classes: DataFrame, least: int) -> DataFrame:
+    """(token, node, first, split): the postings of prefix tokens that occur more than once, with their list's first node.
 
-    twice = spark.sparkContext.broadcast(bloom.repeated(classes.select("signature"), hashes, words))
+    A token that is far more frequent than others is split by node into several lists.
+    """
+    spark = classes.sparkSession
+    shared = spark.sparkContext.broadcast(_counters(classes))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = shared.value
+        usual = int(np.median(total))
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tokens = _tokens(batch)
-            hit = bloom.holds(twice.value, textkit.fmix(tokens.reshape(-1).astype(U64))).reshape(tokens.shape)
-            hit &= (hit.sum(1) >= least)[:, None]
-            doc = np.nonzero(hit)[0]
-            yield pa.RecordBatch.from_arrays([batch["rep"].take(pa.array(doc)), pa.array(tokens[hit])], names=("rep", "token"))
-
-    posted = classes.select("rep", "signature").mapInArrow(post, "rep long, token long")
-    counted = posted.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    ordered = posted.join(counted, "token").groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("own"))
-    prefix = ordered.filter(F.size("own") >= least).select("rep", F.slice("own", F.lit(1), F.size("own") - least + 1).alias("own"))
-    lists = prefix.join(classes.select("rep", "signature"), "rep").select("rep", "signature", F.explode("own.token").alias("token"))
+            tokens, node = _tokens(batch["signature"]), batch["node"].to_numpy()
+            n = total[_slots(tokens)]
+            order = np.lexsort((tokens, n))[:, : COORDINATES - least + 1]
+            own, n = np.take_along_axis(tokens, order, 1), np.take_along_axis(n, order, 1)
+            lists = 1 + np.maximum(0, n - usual) // LIST_ROWS
+            share = (textkit.fmix(node.astype(U64)) >> U64(8)).astype(np.int64)[:, None] % lists
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(own.reshape(-1)), pa.array(np.repeat(node, own.shape[1])), pa.array(np.where(lists > 1, share + 1, 0).astype(np.int32).reshape(-1))],
+                names=("token", "node", "split"),
+            )
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, first, alone = None, 0, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            token, node, split = (batch[c].to_numpy() for c in ("token", "node", "split"))
+            new = np.append(True, (token[1:] != token[:-1]) | (split[1:] != split[:-1]))
+            new[0] = last != (token[0], split[0])
+            start = np.flatnonzero(new)
+            head = np.full(len(token), first)
+            if len(start):
+                head[start[0] :] = np.repeat(node[start], np.diff(np.append(start, len(token))))
+            # a list's first member is passed on when the second comes, or at once in a split list
+            again = ~new | (split > 0)
+            opens = np.flatnonzero(~new[1:] & new[:-1] & (split[:-1] == 0))
+            again[opens] = True
+            out = [token[again], node[again], head[again], split[again]]
+            if not new[0] and alone:
+                out = [np.concatenate(([x], y)) for x, y in zip((token[0], first, first, 0), out, strict=True)]
+            alone = bool(new[-1]) and split[-1] == 0
+            last, first = (token[-1], split[-1]), int(head[-1])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(x.astype(np.int64)) for x in out[:3]] + [pa.array(out[3].astype(np.int32))], names=("token", "node", "first", "split")
+            )
+
+    posted = classes.select("node", "signature").mapInArrow(post, "token long, node long, split int")
+    dealt = posted.repartition(partitions(spark), "token", "split").sortWithinPartitions("token", "split", "node")
+    return cut(dealt.mapInArrow(merge, "token long, node long, first long, split int"))
+
+
+def _collisions(a: np.ndarray, b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of `a`, row of `b`, coordinates in common) where at least `least` are.
+
+    After half of the coordinates, pairs that the other half cannot bring to `least` are skipped.
+    """
+    half = COORDINATES // 2
+    n = np.zeros((len(a), len(b)), np.uint8)
+    for k in range(half):
+        n += a[:, k][:, None] == b[:, k][None, :]
+    x, y = np.nonzero(n >= least - half)
+    n = n[x, y].astype(np.int64)
+    for lo in range(0, len(x), 1 << 16):
+        part = slice(lo, lo + (1 << 16))
+        n[part] += (a[x[part], half:] == b[y[part], half:]).sum(1)
+    hit = n >= least
+    return x[hit], y[hit], n[hit]
+
+
+def _cell_matches(sig: np.ndarray, cell: pa.Table, component: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of different components that match across a cell's two blocks, or within its one."""
+    left, right, two = cells.blocks(cell)
+    a, b, n = _collisions(sig[left], sig[right], least)
+    a, b = left[a], right[b]
+    new = component[a] != component[b]
+    if not two:
+        new &= a < b
+    return a[new], b[new], n[new]
+
+
+def _families(classes: DataFrame, least: int) -> DataFrame:
+    """(node, component): documents connected by signatures that match."""
+    lists = _lists(classes, least)
+    signed = classes.select("node", "signature")
+    stars = lists.filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b"))
+    # the first nodes of a split token's lists are candidates of each other
+    heads = lists.filter("split > 0 AND node = first").select("token", "first")
+    crown = heads.join(heads.groupBy("token").agg(F.min("first").alias("b")), "token").filter("first <> b").select(F.col("first").alias("a"), "b")
+    candidates = stars.union(crown).distinct()
+
+    def matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                hit = (_matrix(batch["x"]) == _matrix(batch["y"])).sum(1) >= least
+                yield batch.select(["a", "b"]).filter(pa.array(hit))
+
+    paired = candidates.join(signed.toDF("a", "x"), "a").join(signed.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    first = cut(paired.mapInArrow(matching, "a long, b long"), narrow=True)
 
     def connect(cell: pa.Table) -> Iterator[pa.RecordBatch]:
-        rep = cell["rep"].to_numpy()
-        sig = np.frombuffer(b"".join(cell["signature"].to_pylist()), np.uint32).reshape(len(rep), COORDINATES)
-        a, b, _ = _matches(sig, *_sides(cell), least)
-        root = _roots(len(rep), a, b)
-        hit = np.flatnonzero(root != np.arange(len(rep)))
-        yield pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(rep[root[hit]])], names=("a", "b"))
+        node, component = cell["node"].to_numpy(), cell["component"].to_numpy()
+        a, b, _ = _cell_matches(_matrix(cell["signature"]), cell, component, least)
+        root = roots(len(node), a, b)
+        hit = np.flatnonzero(root != np.arange(len(node)))
+        yield pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(node[root[hit]])], names=("a", "b"))
 
-    dealt = cells.deal(lists, ["token"], "rep", BLOCK)
-    return components(cells.each(dealt, ["token"], "rep", connect, "a long, b long"))
+    placed = lists.select("token", "node").join(components(first), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    dealt = cut(cells.sides(placed, ["token"], "node", "component", BLOCK))
+    rest = cells.each(dealt.join(signed, "node"), ["token"], "node", connect, "a long, b long")
+    return components(first.union(rest))
 
 
 def _confirm(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -158,24 +260,14 @@ def _confirm(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def link(docs: DataFrame, percent: int = 85, shingle: int = 5) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) per row: documents link where 100 * intersection >= percent * union."""
-    small_batches(docs.sparkSession)
-    least = match_threshold(percent)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    described = cut(_describe(rows, shingle))
-    classes = cut(
-        described.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-        .groupBy("set_id")
-        .agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"), F.first("signature").alias("signature"))
-    )
-    families = _families(classes.select("rep", "signature").groupBy("rep").agg(F.first("signature").alias("signature")), least)
+def _links(families: DataFrame, classes: DataFrame, rows: DataFrame, percent: int, shingle: int, least: int) -> DataFrame:
+    """(a, b): confirmed links that connect the nodes of each family as all its links would."""
 
     def confirm(cell: pa.Table) -> Iterator[pa.RecordBatch]:
-        rep = cell["rep"].to_numpy()
+        node = cell["node"].to_numpy()
         texts = textkit.as_bytes(cell["text"].combine_chunks() if cell["text"].num_chunks != 1 else cell["text"].chunk(0))
         sets: list[np.ndarray] = []
-        sig = np.zeros((len(rep), COORDINATES), np.uint32)
+        sig = np.zeros((len(node), COORDINATES), np.uint32)
         lo = 0
         while lo < len(texts):
             hi, size = lo, 0
@@ -186,29 +278,71 @@ def link(docs: DataFrame, percent: int = 85, shingle: int = 5) -> DataFrame:
             sig[lo:hi] = signatures(h, at)
             sets += [h[at[d] : at[d + 1]] for d in range(hi - lo)]
             lo = hi
-        a, b, n = _matches(sig, *_sides(cell), least)
-        order = np.argsort(-n.astype(np.int64), kind="stable")
-        label = np.arange(len(rep))
+        label = cell["component"].to_numpy().copy()
+        a, b, n = _cell_matches(sig, cell, label, least)
         found: list[tuple[int, int]] = []
-        for start in range(0, len(order), 4_096):
-            part = order[start : start + 4_096]
-            for i, j in zip(a[part].tolist(), b[part].tolist(), strict=True):
-                x, y = label[i], label[j]
-                if x != y and _confirm(sets[i], sets[j], percent):
-                    found.append((i, j))
-                    label[label == max(x, y)] = min(x, y)
+        for k in np.argsort(-n, kind="stable").tolist():
+            i, j = int(a[k]), int(b[k])
+            if label[i] != label[j] and _confirm(sets[i], sets[j], percent):
+                found.append((i, j))
+                label[label == label[j]] = label[i]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(rep[[i for i, _ in found]], pa.int64()), pa.array(rep[[j for _, j in found]], pa.int64())], names=("a", "b")
+            [pa.array(node[[i for i, _ in found]], pa.int64()), pa.array(node[[j for _, j in found]], pa.int64())], names=("a", "b")
         )
 
-    members = families.select(F.col("node").alias("rep"), F.col("component").alias("family"))
-    texts = rows.withColumnRenamed("doc_id", "rep").join(members, "rep").groupBy("rep", "family").agg(F.max("text").alias("text"))
-    linked = components(cells.each(cells.deal(texts, ["family"], "rep", BLOCK), ["family"], "rep", confirm, "a long, b long"))
-
-    copies = classes.filter("last > rep").select("set_id", "rep")
-    node = F.coalesce("rep", "doc_id")
-    placed = described.select("doc_id", "n_shingles", "set_id").join(copies, "set_id", "left").select("doc_id", "n_shingles", node.alias("node"))
-    component = F.coalesce("component", "node")
-    return placed.join(linked, "node", "left").select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept")
+    def texts_of(members: DataFrame) -> DataFrame:
+        """`members` with the text of each node; repeated rows give one."""
+        found = members.join(classes.select("node", "doc_id", "version"), "node").join(rows, ["doc_id", "version"])
+        return found.groupBy("doc_id", "version", *members.columns).agg(F.max("text").alias("text"))
+
+    # a family's number is its first node
+    members = families.select("node", F.col("component").alias("family"))
+    sized = members.join(members.groupBy("family").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks")), "family")
+    own = F.pmod(F.xxhash64(F.lit(5), "node"), F.col("_blocks")).cast("int")
+    every = F.when(F.col("node") == F.col("family"), F.sequence(F.lit(0), F.col("_blocks") - 1)).otherwise(F.array(own))
+    sized = cut(sized, narrow=True)
+    dealt = (
+        texts_of(sized)
+        .withColumn("_i", F.explode(every))
+        .select("node", "family", F.col("node").alias("component"), "text", F.col("family").alias("_group"), "_i", F.col("_i").alias("_j"), F.lit(False).alias("_second"))
+    )
+    first = cut(cells.each(dealt, ["family"], "node", confirm, "a long, b long"), narrow=True)
+    large = sized.filter("_blocks > 1").select("node", "family")
+    if not large.limit(1).count():
+        return first
+    placed = large.join(components(first), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    across = cells.sides(placed, ["family"], "node", "component", BLOCK)
+    meeting = cut(across, narrow=True)
+    texts = texts_of(meeting.select("node").distinct()).select("node", "text")
+    return first.union(cells.each(meeting.join(texts, "node"), ["family"], "node", confirm, "a long, b long"))
+
+
+def link(docs: DataFrame, percent: int = 80, shingle: int = 5) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) per row: documents link where 100 * intersection >= percent * union."""
+    small_batches(docs.sparkSession)
+    least = match_threshold(percent)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("version"), "text")
+    described = cut(_describe(rows, shingle))
+    known = F.col("doc_id").isNotNull()
+    with_set = described.filter(known & (F.col("n_shingles") > 0))
+    classes = cut(
+        with_set.groupBy("set_id")
+        .agg(F.min(F.struct("doc_id", "version")).alias("own"), F.first("signature").alias("signature"))
+        .select("set_id", "own.doc_id", "own.version", "signature", F.monotonically_increasing_id().alias("node"))
     )
+    families = _families(classes, least)
+    links = _links(families, classes, rows, percent, shingle, least)
+
+    placed = cut(with_set.select("doc_id", "n_shingles", "set_id").join(classes.select("set_id", "node", F.col("doc_id").alias("low")), "set_id").drop("set_id"), narrow=True)
+    several = placed.groupBy("doc_id").agg(F.min("node").alias("b"), F.max("node").alias("top")).filter("b < top")
+    within = placed.join(several, "doc_id").filter("node <> b").select(F.col("node").alias("a"), "b")
+    linked = components(links.union(within))
+    lowest = linked.join(classes.select("node", "doc_id"), "node").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    target = linked.join(lowest, "component").select("node", "component_id")
+    found = placed.join(target, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "low").alias("component_id"))
+    blank = described.filter(known & (F.col("n_shingles") == 0)).select("doc_id", "n_shingles")
+    elsewhere = found.join(blank.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    blank = blank.join(elsewhere, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    nameless = described.filter(~known).select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
+    out = found.union(blank).union(nameless)
+    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))

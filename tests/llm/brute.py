@@ -71,7 +71,7 @@ def shingles(text, n=5):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {tuple(w)} if w else set()
 
 
-def near(docs, percent=85):
+def near(docs, percent=80):
     """{doc_id: component}, for distinct doc_ids that are not null."""
     g, sets = Groups(), [(d, shingles(t)) for d, t in docs if d is not None]
     for i, (d, a) in enumerate(sets):

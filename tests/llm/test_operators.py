@@ -82,9 +82,10 @@ def test_suffix_dedup_on_random_repetitive_bytes(spark):
     assert {(r.doc_id, tuple((s.start, s.end) for s in r.spans), bytes(r.kept)) for r in got.collect()} == {(d, tuple(s), k) for d, _, s, k in brute.repeats(texts)}
 
 
-def test_near_duplicates(docs, empty, rows):
-    want = brute.near([r[:2] for r in rows])
-    got = neardedup.link(docs).collect()
+@pytest.mark.parametrize("percent", [80, 85])
+def test_near_duplicates(docs, empty, rows, percent):
+    want = brute.near([r[:2] for r in rows], percent)
+    got = neardedup.link(docs, percent).collect()
     assert len(got) == len(rows)
     assert {r.doc_id: r.component_id for r in got if r.doc_id is not None} == want
     assert len(set(want.values())) < len(want) - 8
@@ -111,6 +112,28 @@ def test_near_duplicates_in_families_of_many_blocks(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in got.collect()} == brute.near(texts)
 
 
+@pytest.mark.parametrize("list_rows", [1_000_000, 3])
+def test_near_duplicates_of_several_texts_of_one_document(spark, monkeypatch, list_rows):
+    monkeypatch.setattr(neardedup, "BLOCK", 4)
+    monkeypatch.setattr(neardedup, "LIST_ROWS", list_rows)
+    x, y, z = ([f"{c}{i}" for i in range(60)] for c in "xyz")
+    rows = [(5, x), (5, y), (1, [*x, "more"]), (9, [*y, "more"]), (7, z), (7, z), (2, z), (5, []), (30, [])]
+    rows += [(100 + i, [*x[:55], *(f"n{i}{k}" for k in range(i % 4))]) for i in range(40)] + [(200 + i, [*y, *x[: 2 * i]]) for i in range(30)]
+    texts = [(d, " ".join(w)) for d, w in rows]
+    got = neardedup.link(spark.createDataFrame(texts, "doc_id long, text string").repartition(3)).collect()
+    assert len(got) == len(rows)
+    assert {r.doc_id: r.component_id for r in got} == brute.near(texts)
+    assert {r.component_id for r in got if r.doc_id in (1, 5, 9)} == {1}
+
+
+def test_near_duplicates_with_a_very_long_text(spark):
+    rng = random.Random(12)
+    long = prose(rng, 300_000).split(" ")
+    texts = [(1, " ".join(long)), (2, " ".join([*long[:-9], "other"])), (3, " ".join(long[:150_000])), (4, "short")]
+    got = {r.doc_id: r.component_id for r in neardedup.link(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got == brute.near(texts)
+
+
 def test_phrases(spark, docs, empty, rows):
     rng = random.Random(3)
     long = next(r[1] for r in rows if r[1] and len(r[1].split()) > 60)
