@@ -1,11 +1,15 @@
 """Line dedup: lines that several documents share stay in the first of them only.
 
 Two Bloom filters over the hashes of all lines tell which may repeat; only those are shuffled, as 128-bit BLAKE2
-digests with their doc_id, to confirm that at least two documents hold them and to find the first.
+digests with their doc_id, to confirm that at least two documents hold them and to find the first.  Keys that make up a
+ten-thousandth of the suspects are at most ten thousand, so these are broadcast, and no task gets all rows of such a
+key.  A third filter, over the documents that lose lines, tells which texts have to meet their drops in a shuffle; all
+others are passed on where they are read.
 
 A line's key is the line stripped of 0x20 and 0x09-0x0D at both ends, with A-Z lower-cased.  Defined results: a null
 or empty text is one empty line and comes back empty; a key repeated within one document only stays; rows of one
-doc_id count as one document; a null doc_id is one document after all others; an empty table gives an empty result.
+doc_id count as one document; a null doc_id is one document after all others; a text of any length is split in memory
+by the task that reads it; an empty table gives an empty result.
 Columns beside doc_id and text are not read.
 """
 
@@ -22,11 +26,13 @@ from pyspark.sql import functions as F
 
 from candlewick.llm import bloom
 from candlewick.llm.runtime import cut, small_batches
-from candlewick.llm.textkit import as_bytes
+from candlewick.llm.textkit import as_bytes, fmix
 
 _WHITE = b" \t\n\x0b\x0c\r"
 #: Stands for a null doc_id in comparisons.
 _LAST = (1 << 63) - 1
+#: Rows from which a key is joined by broadcast, and the share of all rows (one in so many) that it must have as well.
+HOT_ROWS, HOT_SHARE = 1_000, 10_000
 
 
 def keys(text: bytes, least: int) -> list[bytes | None]:
@@ -75,8 +81,25 @@ def dedup_lines(docs: DataFrame, least: int = 10) -> DataFrame:
     place = F.coalesce("doc_id", F.lit(_LAST))
     maybe = cut(rows.mapInArrow(suspects, "doc_id long, key binary").select(place.alias("place"), "key"))
     # partial aggregation leaves one row per key and task before the shuffle
-    first = maybe.groupBy("key").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter("first < last")
-    drops = maybe.join(first, "key").filter("place > first").groupBy("place").agg(F.collect_set("key").alias("drop"))
+    counted = cut(maybe.groupBy("key").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count(F.lit(1)).alias("n")).filter("first < last").drop("last"))
+    hot = F.col("n") >= max(HOT_ROWS, maybe.count() / HOT_SHARE)
+    marked = maybe.join(F.broadcast(counted.filter(hot).select("key", F.col("first").alias("hot"))), "key", "left")
+    common = marked.filter("place > hot").select("place", "key")
+    rare = marked.filter("hot IS NULL").select("place", "key").join(counted.filter(~hot).select("key", "first"), "key").filter("place > first").select("place", "key")
+    drops = cut(common.union(rare).groupBy("place").agg(F.collect_set("key").alias("drop")))
+
+    def losing(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield np.repeat(fmix(batch["place"].to_numpy().astype(np.uint64)), 2)
+
+    losers = spark.sparkContext.broadcast(bloom.repeated(drops.select("place"), losing, bloom.words_for(drops.count())))
+
+    def parted(lose: bool):
+        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                hit = bloom.holds(losers.value, fmix(batch["place"].to_numpy().astype(np.uint64)))
+                yield batch.filter(pa.array(hit == lose))
+
+        return part
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -95,5 +118,10 @@ def dedup_lines(docs: DataFrame, least: int = 10) -> DataFrame:
                 names=("doc_id", "text", "n_lines", "n_dropped"),
             )
 
-    both = rows.withColumn("place", place).join(drops, "place", "left").select("doc_id", "text", "drop")
-    return both.mapInArrow(apply, "doc_id long, text string, n_lines long, n_dropped long")
+    placed = rows.withColumn("place", place)
+    columns = "doc_id long, text string, place long"
+    untouched = placed.mapInArrow(parted(False), columns).withColumn("drop", F.lit(None).cast("array<binary>"))
+    met = placed.mapInArrow(parted(True), columns).join(drops, "place", "left")
+    out = "doc_id long, text string, n_lines long, n_dropped long"
+    both = (d.select("doc_id", "text", "drop").mapInArrow(apply, out) for d in (untouched, met))
+    return next(both).union(next(both))
