@@ -7,8 +7,9 @@ bounded sample of labelled rows.  Since everything before the softmax is linear,
 a document's logit is the mean of its features' numbers plus a bias, computed over whole texts in a few passes.
 
 Defined results: a null, empty or blank text has no features and gets the bias alone; repeated rows get equal
-scores; rows whose label is null or not 0 or 1 are not learned from; without labels of both kinds the score is the
-(smoothed) share of label 1; an empty table gives an empty result.  Only `text` is an input of a score.
+scores; rows whose label is null or not 0 or 1 are not learned from; a doc_id labelled several times has its largest
+label; without labels of both kinds the score is the (smoothed) share of label 1; a very long text is scored whole, in
+memory; an empty table gives an empty result.  Only `text` is an input of a score.
 """
 
 from __future__ import annotations
@@ -142,8 +143,8 @@ def train(samples: list[tuple[np.ndarray, np.ndarray, int]], config: Config) ->
 def fit(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Model:
     """Learns from (doc_id, text) and (doc_id, label), from at most config.max_rows labelled rows.
 
-    The sample is the labelled rows whose hashed doc_id is smallest.  Executors turn it into feature counts, of whole
-    texts.
+    The sample is the labelled rows whose hashed doc_id is smallest; of several texts of one doc_id it takes the one
+    with the smallest hash.  Executors turn it into feature counts, of whole texts.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -155,7 +156,10 @@ def fit(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Model:
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(config.max_rows)
     )
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    # at most max_rows rows, so the broadcasts are bounded
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("version"))
+    picked = texts.drop("text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("version").alias("version"))
+    sample = texts.join(F.broadcast(picked), ["doc_id", "version"]).dropDuplicates(["doc_id"]).select("doc_id", "text", "label")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,8 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Model:
                 )
 
     rows = sample.mapInArrow(count, "doc_id long, label int, at binary, n binary").toLocalIterator()
-    # repeated rows of one doc_id beyond the sample's size are left out
-    got = sorted(((r.doc_id, bytes(r.at), bytes(r.n), r.label) for _, r in zip(range(config.max_rows), rows)), key=lambda r: r[:2])
+    got = sorted(((r.doc_id, bytes(r.at), bytes(r.n), r.label) for r in rows), key=lambda r: r[0])
     return train([(np.frombuffer(a, "<i4"), np.frombuffer(n, "<i4"), y) for _, a, n, y in got], config)
 
 
