@@ -1,10 +1,11 @@
 """Token-ID output: texts to ids, ids to plane-shuffled binary files, and back.
 
-Documents are dealt by ranges of doc_id, each partition sorts its own and writes one file, so the files in order hold
-the ids of all documents in ascending doc_id order.  A retried task writes a file of its own first and renames it.
+Documents are dealt by ranges of doc_id and, among equal ones, of their texts' beginnings; each partition sorts its own
+and writes one file, so the files in order hold the ids of all documents in ascending doc_id order.  A retried task writes a file of its own first and renames it.
 
 Defined results: a null or empty text has the end id alone; a null doc_id sorts first; repeated rows are written as
-often as they come, those of one doc_id in order of their text; an empty table makes no file and an empty result.
+often as they come, those of one doc_id in order of their text; a very long text is encoded in parts of the same ids;
+an empty table makes no file and an empty result.
 Columns beside doc_id and text are not read.
 """
 
@@ -59,8 +60,10 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = END_ID
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    dealt = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
-    return cut(dealt.mapInArrow(part, _FILES))
+    # the beginning only says which range a text of a repeated doc_id goes to; whole texts are sorted and written
+    begin = F.substring("text", 1, 32)
+    dealt = rows.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id"), begin).sortWithinPartitions("doc_id", "text")
+    return cut(dealt.mapInArrow(part, _FILES), narrow=True)
 
 
 def _calls(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str | None]]]:
