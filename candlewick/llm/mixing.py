@@ -6,7 +6,8 @@ source gives exactly its budget of words and no document more than once per epoc
 operations.
 
 Defined results: a null text has no words; a null source is a source of its own that sorts last; repeated rows are
-documents of their own; a source without words has target 0; an empty table gives an empty result.  Columns beside
+documents of their own; a source without words has target 0; very long texts count and are cut like others; an empty
+table gives an empty result.  Columns beside
 doc_id, text and source are carried only by `mixed`.
 """
 

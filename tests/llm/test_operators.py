@@ -299,3 +299,33 @@ def test_extra_columns_do_not_matter(docs):
         a, b = (Counter(str(r) for r in f(x).collect()) for x in (docs, bare))
         assert a == b
     assert isinstance(F.lit(1), object)
+
+
+@pytest.mark.parametrize("hot", [1, 1_000])
+def test_lines_of_hot_keys_and_long_texts(spark, monkeypatch, hot):
+    monkeypatch.setattr(linededup, "HOT_ROWS", hot)
+    monkeypatch.setattr(linededup, "HOT_SHARE", 5)
+    rng = random.Random(21)
+    lines = [f"a line that some hold, number {i}" for i in range(30)]
+    rows = [(i, "\n".join(["the line of all documents", *rng.sample(lines, i % 4), f"own line of {i}"])) for i in range(60)]
+    rows += [(60, "\n".join([*(f"long text, line {i}" for i in range(60_000)), lines[0]])), (61, "long text, line 59999\n" * 3)]
+    got = linededup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert Counter(tuple(r) for r in got) == Counter(brute.lines(rows))
+
+
+def test_shards_are_cut_from_fractional_ranks(spark):
+    """The whole order, against a plain version: ranks by the seeded hash within sources, then by fraction."""
+    import hashlib
+
+    rows = [(i, f"text {i % 17}", [None, "a", "b", "a"][i % 4]) for i in range(211)]
+    key = lambda d, t: int(hashlib.md5(f"11\x1f{d}\x1f{t}".encode()).hexdigest()[:15], 16)
+    strata = defaultdict(list)
+    for d, t, s in rows:
+        strata["n" if s is None else "s" + s].append((key(d, t), d, t))
+    line = sorted(((i + 0.5) / len(own), s, k, d) for s, own in strata.items() for i, (k, d, _) in enumerate(sorted(own)))
+    want, n = {}, len(rows)
+    for pos, (*_, d) in enumerate(line):
+        shard = pos * 24 // n
+        want[d] = (shard, pos - -(-shard * n // 24))
+    got = sharding.interleave(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5))
+    assert {r.doc_id: (r.shard, r.slot) for r in got.collect()} == want
