@@ -1,8 +1,8 @@
 """All-pairs work inside groups, in cells of bounded size.
 
-A group of at most `block` rows is one cell.  A larger one is dealt into blocks by a hash of the row's id, and every
-pair of blocks is a cell; a row goes to as many cells as its group has blocks.  No pair of rows becomes a row: a cell
-is handled in one pass over two blocks, and what it returns is for its function to keep linear.
+A group is dealt into blocks by a hash of the row's id, and a pair of blocks that has to be compared is a cell.  No
+pair of rows becomes a row: a cell is handled in one pass over two blocks, and what it returns is for its function to
+keep linear.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,28 +20,11 @@ from candlewick.llm.runtime import partitions
 CELL = ("_group", "_i", "_j")
 
 
-def deal(rows: DataFrame, group: list[str], row_id: str, block: int) -> DataFrame:
-    """`rows` with `_group` (a hash of the group's columns), `_i` <= `_j` (the cell) and `_second` (the row is in block
-    `_j` of two).  Rows alone in their group are left out."""
-    sizes = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    blocks = F.ceil(F.col("_n") / block).cast("int")
-    own = F.pmod(F.xxhash64(F.lit(5), row_id), blocks).cast("int")
-    return (
-        rows.join(sizes, group)
-        .withColumn("_own", own)
-        .withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumn("_group", F.xxhash64(*group))
-        .withColumn("_i", F.least("_own", "_other"))
-        .withColumn("_j", F.greatest("_own", "_other"))
-        .withColumn("_second", F.col("_own") > F.col("_i"))
-        .drop("_n", "_own", "_other")
-    )
-
-
 def sides(rows: DataFrame, group: list[str], row_id: str, component: str, block: int) -> DataFrame:
-    """`rows` of groups with several components, dealt as by `deal`, but for the pairs within the group's largest
-    component: its rows meet the others, and the others meet all.  Where most of a group is one component, a row goes
-    to few cells however large the group is."""
+    """`rows` of groups with several components, with `_group` (a hash of the group's columns), `_i` <= `_j` (the
+    cell) and `_second` (the row is in block `_j` of two).  Pairs within a group's largest component are left out: its
+    rows meet the others, and the others meet all.  Where most of a group is one component, a row goes to few cells
+    however large the group is."""
     counted = rows.groupBy(*group, component).agg(F.count(F.lit(1)).alias("_n"))
     sized = (
         counted.groupBy(*group)
@@ -74,25 +58,35 @@ def blocks(cell: pa.Table) -> tuple[np.ndarray, np.ndarray, bool]:
 
 def each(dealt: DataFrame, group: list[str], row_id: str, function: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Applies `function` to the rows of each cell, in order of `row_id`, so that a repeated task gives the same."""
-    keys = [*CELL, *group]
+    return grouped(dealt, list(CELL), [*CELL, *group], row_id, function, schema)
+
+
+def grouped(rows: DataFrame, by: list[str], keys: list[str], row_id: str, function: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """Applies `function` to the rows of each value of `keys`, which are shuffled by the columns `by` among them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         key = None
         for batch in batches:
-            marks = list(zip(*(batch[k].to_pylist() for k in keys), strict=True))
-            start = 0
-            for i, mark in enumerate(marks):
-                if mark != key:
-                    if i > start:
-                        held.append(batch.slice(start, i - start))
-                    if held:
-                        yield from function(pa.Table.from_batches(held))
-                    held, key, start = [], mark, i
-            if len(marks) > start:
-                held.append(batch.slice(start))
+            if not batch.num_rows:
+                continue
+            new = np.zeros(batch.num_rows, bool)
+            for k in keys:
+                column = batch[k]
+                new[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
+            mark = tuple(batch[k][0].as_py() for k in keys)
+            if held and mark != key:
+                yield from function(pa.Table.from_batches(held))
+                held = []
+            start = np.flatnonzero(new).tolist()
+            for a, b in zip([0, *start], [*start, batch.num_rows], strict=True):
+                if a:
+                    yield from function(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(a, b - a))
+            key = tuple(batch[k][-1].as_py() for k in keys)
         if held:
             yield from function(pa.Table.from_batches(held))
 
-    spread = dealt.repartition(partitions(dealt.sparkSession), *CELL).sortWithinPartitions(*keys, row_id)
+    spread = rows.repartition(partitions(rows.sparkSession), *by).sortWithinPartitions(*keys, row_id)
     return spread.mapInArrow(run, schema)

@@ -28,7 +28,6 @@ empty table gives an empty result.  Other columns are not read.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,15 +36,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.llm import cells, textkit
+from candlewick.llm import cells, counters, textkit
 from candlewick.llm.components import components, roots
 from candlewick.llm.runtime import cut, partitions, small_batches
 
 U64 = np.uint64
 COORDINATES = 64
 BLOCK = 1_024
-#: Counters by which tokens are ordered; postings of one token that a task merges, beyond what the counters hold on average.
-COUNTERS, LIST_ROWS = 1 << 18, 1_000_000
+#: Postings of one token that a task merges, beyond what a counter holds on average.
+LIST_ROWS = 1_000_000
 _MULTIPLIERS = np.random.default_rng(808).integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * U64(2) + U64(1)
 
 
@@ -99,47 +98,17 @@ def _tokens(column: pa.Array) -> np.ndarray:
     return _matrix(column).astype(np.int64) | (np.arange(COORDINATES, dtype=np.int64) << 32)
 
 
-def _slots(tokens: np.ndarray) -> np.ndarray:
-    return (textkit.fmix(tokens.astype(U64)) & U64(COUNTERS - 1)).astype(np.int64)
-
-
-def _counters(classes: DataFrame) -> np.ndarray:
-    """How many tokens fall on each counter, over all documents: a table of fixed size, merged by its segments."""
-    width = COUNTERS >> 6
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            if batch.num_rows:
-                total += np.bincount(_slots(_tokens(batch["signature"])).reshape(-1), minlength=COUNTERS)
-        if total.any():
-            own = [zlib.compress(x.astype("<i8").tobytes(), 1) for x in total.reshape(-1, width)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own), dtype=np.int32)), pa.array(own, pa.binary())], names=("seg", "n"))
-
-    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for seg, n in zip(batch["seg"].to_pylist(), batch["n"].to_pylist(), strict=True):
-                own = np.frombuffer(zlib.decompress(n), "<i8")
-                total[seg] = total[seg] + own if seg in total else own
-        for seg, n in total.items():
-            yield pa.RecordBatch.from_pydict({"seg": pa.array([seg], pa.int32()), "n": pa.array([zlib.compress(n.astype("<i8").tobytes(), 1)], pa.binary())})
-
-    schema = "seg int, n binary"
-    merged = classes.select("signature").mapInArrow(count, schema).repartition(partitions(classes.sparkSession), "seg").mapInArrow(merge, schema)
-    out = np.zeros((64, width), np.int64)
-    for row in merged.toLocalIterator():
-        out[row.seg] = np.frombuffer(zlib.decompress(bytes(row.n)), "<i8")
-    return out.reshape(-1)
-
-
 def _lists(classes: DataFrame, least: int) -> DataFrame:
     """(token, node, first, split): the postings of prefix tokens that occur more than once, with their list's first node.
 
     A token that is far more frequent than others is split by node into several lists.
     """
     spark = classes.sparkSession
-    shared = spark.sparkContext.broadcast(_counters(classes))
+
+    def hashes(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+        yield _tokens(batch["signature"]).reshape(-1).astype(U64)
+
+    shared = spark.sparkContext.broadcast(counters.count(classes.select("signature"), hashes))
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = shared.value
@@ -148,7 +117,7 @@ def _lists(classes: DataFrame, least: int) -> DataFrame:
             if not batch.num_rows:
                 continue
             tokens, node = _tokens(batch["signature"]), batch["node"].to_numpy()
-            n = total[_slots(tokens)]
+            n = total[counters.slots(tokens.astype(U64))]
             order = np.lexsort((tokens, n))[:, : COORDINATES - least + 1]
             own, n = np.take_along_axis(tokens, order, 1), np.take_along_axis(n, order, 1)
             lists = 1 + np.maximum(0, n - usual) // LIST_ROWS

@@ -226,7 +226,17 @@ def test_shards(docs, empty, rows):
     assert len({(r.shard, r.slot) for r in sharding.interleave(docs.limit(3), shards=24).collect()}) == 3
 
 
-def test_embeddings(spark, monkeypatch):
+def test_embeddings_of_doubles_and_of_several_rows_of_one_id(spark):
+    a, b = [1e300, 2e300, 0.0], [1e300, 2e300, 1e299]
+    rows = [(1, a, 0), (1, [0.0, 0.0, 1.0], 0), (2, b, 0), (3, [-0.0, -0.0, 5e-324], 0), (4, [1.0, 2.0], 0), (5, [1.0, 2.0], 0), (5, [1.0, 2.0], 1)]
+    rows += [(100 + i, [float(j == i) for j in range(40 + i)], 2) for i in range(30)]  # a length of its own each
+    got = Counter(tuple(r) for r in embdedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect())
+    want = [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 1, 4, True), (5, 1, 4, False), (5, 0, 5, True)]
+    assert got == Counter(want + [(100 + i, 0, 100 + i, True) for i in range(30)])
+
+
+@pytest.mark.parametrize("plan", [{}, {"tables": 4, "radius": 1}])
+def test_embeddings(spark, monkeypatch, plan):
     monkeypatch.setattr(embdedup, "BLOCK", 8)
     rng = np.random.default_rng(2)
     centres = rng.normal(size=(12, 16))
@@ -250,7 +260,7 @@ def test_embeddings(spark, monkeypatch):
                 g.link(i, j)
                 links[i] += 1
                 links[j] += 1
-    got = {r.vec_id: r for r in embdedup.link(df).collect()}
+    got = {r.vec_id: r for r in embdedup.link(df, **plan).collect()}
     assert len(got) == len(rows)
     for i, _, _ in rows:
         if i is not None:
@@ -259,7 +269,8 @@ def test_embeddings(spark, monkeypatch):
     assert embdedup.link(df.filter("false")).collect() == []
 
 
-def test_embedding_links_at_the_limit_are_found(spark):
+@pytest.mark.parametrize("plan", [{}, {"tables": 6, "radius": 1}])
+def test_embedding_links_at_the_limit_are_found(spark, plan):
     """Pairs by cosine band: by construction, each vector has one link."""
     rng = np.random.default_rng(11)
     x = rng.normal(size=(2_400, 64))
@@ -270,7 +281,7 @@ def test_embedding_links_at_the_limit_are_found(spark):
     cosine = np.repeat([0.931, 0.94, 0.96], 800)[:, None]
     pairs = np.stack([x, cosine * x + np.sqrt(1 - cosine**2) * off], 1)
     rows = [(2 * i + j, [float(v) for v in pair[j]], 0) for i, pair in enumerate(pairs) for j in (0, 1)]
-    got = {r.vec_id: r.n_links for r in embdedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    got = {r.vec_id: r.n_links for r in embdedup.link(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"), **plan).collect()}
     for band in range(3):
         assert np.mean([got[2 * i] for i in range(800 * band, 800 * (band + 1))]) > 0.995, band
 
