@@ -2,15 +2,15 @@
 
 import io
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from candlewick.llm import htmlmain, planes, quality, tokens
+from candlewick.llm import htmlmain, labelled_pages, planes, quality, tokens
 from candlewick.llm.bpe import Encoder
-from candlewick.llm.labelled_pages import PAGES
 from candlewick.llm.queries import QUERIES, tokenizer_path
 from tests.llm.test_operators import odd_rows, prose
 
@@ -100,10 +100,48 @@ def test_a_text_scores_the_same_in_any_batch():
 
 
 def test_labelled_pages_are_extracted():
-    w = htmlmain.learn(PAGES)
-    assert w["word"] > 0 and all(v < 0 for k, v in w.items() if not k.endswith("word"))
-    for source, lines in PAGES:
+    w = htmlmain.default_weights()
+    assert all(v < 0 for v in w.tag.values()) and w.other_tag < 0
+    for source, lines in labelled_pages._BY_HAND:
         assert htmlmain.main_text(source, w).split("\n") == lines
+    # pages made by the same rule, but not learned from
+    fresh = labelled_pages.pages(200, seed=5)[-200:]
+    right = [htmlmain.main_text(source, w).split("\n") == lines for source, lines in fresh]
+    assert np.mean(right) > 0.8
+
+
+def test_scan_finds_the_best_of_all_stretches():
+    rng = random.Random(7)
+    for _ in range(400):
+        x = [rng.randint(-6, 5) for _ in range(rng.randint(0, 14))]
+        every = [(sum(x[a:b]), -b, -a) for a in range(len(x)) for b in range(a + 1, len(x) + 1)]
+        start, end = htmlmain.best_stretch(x)
+        best = max((e[0] for e in every), default=0)
+        assert sum(x[start:end]) == max(best, 0) and (end > start) == (best > 0)
+
+
+def test_the_scan_decides():
+    """Without the scan, pages whose elements have no names come out otherwise, and worse."""
+    w = htmlmain.default_weights()
+    better = worse = 0
+    for source, lines in labelled_pages.pages(300, seed=6)[-300:]:
+        page = htmlmain.parse(labelled_pages.unnamed(source))
+        flat = [page.texts[b] for b, p in enumerate(w.probabilities(page)) if p > 0.5]
+        scanned = [page.texts[b] for b in htmlmain.chosen(page, w)]
+        better += flat != lines and scanned == lines
+        worse += flat == lines and scanned != lines
+    assert better > worse
+
+
+def test_extraction_takes_time_in_proportion_to_the_page():
+    w = htmlmain.default_weights()
+    made = lambda k: "<div><b class=x>" * k + "</i>" * k + "<p>text<li>" * k
+    times = []
+    for k in (4_000, 16_000):
+        began = time.perf_counter()
+        htmlmain.main_text(made(k), w)
+        times.append(time.perf_counter() - began)
+    assert times[1] < 10 * times[0] + 0.5
 
 
 @pytest.mark.parametrize(
@@ -124,10 +162,14 @@ def test_labelled_pages_are_extracted():
         ("<ul><li>One<li>Two</ul>", "One\nTwo"),
         ("<article><header><h1>Site</h1></header><p>Body</p></article>", "Body"),
         ("3 < 4 and 5 > 2", "3 < 4 and 5 > 2"),
+        ('<body class="has-sidebar"><div class="main-with-sidebar"><p>Story of a long day in the fields. It rained.</p></div><div class=sidebar><a href=/x>More</a></div>', "Story of a long day in the fields. It rained."),
+        ('<article><h1>T</h1><p>First one here.</p><div class="related-work"><p>Others did this before.</p></div><section id="search-algorithms"><p>We search in order.</p></section><p>So <math><mi>x</mi></math> is.</p></article>', "T\nFirst one here.\nOthers did this before.\nWe search in order.\nSo x is."),
+        ('<article class="post no-comments"><p>The whole text stands here.</p></article><footer>Bye now</footer>', "The whole text stands here."),
+        ('<div class="page has-sidebar"><header>Site name</header><p>The whole text stands here, in a paragraph.</p><p>And here.</p></div>', "The whole text stands here, in a paragraph.\nAnd here."),
     ],
 )
 def test_pages(source, want):
-    assert htmlmain.main_text(source, htmlmain.learn(PAGES)) == want
+    assert htmlmain.main_text(source, htmlmain.default_weights()) == want
 
 
 def test_extraction_in_spark(spark):
