@@ -163,6 +163,21 @@ def test_phrases_of_a_benchmark_in_blocks(spark, docs, rows, monkeypatch):
     assert Counter((r.doc_id, r.n_words, sum(s.end - s.start for s in r.spans), tuple(r["items"])) for r in got) == want
 
 
+def test_one_index_serves_every_benchmark(spark):
+    rng = random.Random(31)
+    texts = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(rng.choice([0, 5, 60, 400])))) for i in range(80)] + [(80, " ".join(f"w{i % 977}" for i in range(200_000)))]
+    index = decontam.build(spark.createDataFrame(texts, "doc_id long, text string").repartition(4))
+    held = set().union(*(set(zlib.decompress(bytes(r.terms)).decode().split()) for r in index.collect()))
+    assert held == {w for _, t in texts for w in t.split()}  # all tokens, whatever is searched for
+    for seed in (1, 2):
+        rng = random.Random(seed)
+        own = [t.split() for _, t in texts if len(t.split()) > 30]
+        items = [(k, " ".join(w[a : a + rng.randint(3, 20)])) for k, w in enumerate(rng.choices(own, k=12)) for a in [rng.randrange(len(w) - 20)]]
+        got = decontam.search(index, spark.createDataFrame(items, "item_id long, text string")).collect()
+        want = Counter((d, n, h, tuple(f)) for d, n, h, f in brute.phrases(texts, items))
+        assert Counter((r.key, r.n_words, sum(s.end - s.start for s in r.spans), tuple(r["items"])) for r in got) == want
+
+
 def test_proximity(spark):
     d = spark.createDataFrame([(1, "a b x c d e f g h i j"), (2, "a b c d e f g h i j")], "doc_id long, text string")
     b = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
