@@ -121,3 +121,84 @@ def repeated(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.nda
         part = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row.twice)), U64)
         out[row.seg * SEGMENT : row.seg * SEGMENT + len(part)] = part
     return out
+
+
+def split(hashes: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """For filters of `repeated_keys`: the segment of each hash, and the 32 bits that stand for it there."""
+    h = hashes.astype(U64)
+    return ((h >> U64(32)) & U64(words // SEGMENT - 1)).astype(np.int64), h.astype(np.uint32)
+
+
+def _marks(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    key = key.astype(U64)
+    bits = (U64(1) << ((key >> U64(13)) & U64(63))) | (U64(1) << ((key >> U64(19)) & U64(63)))
+    return (key & U64(SEGMENT - 1)).astype(np.int64), bits
+
+
+def holds_key(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    seg, key = split(hashes, len(words))
+    at, bits = _marks(key)
+    return (words[seg * SEGMENT + at] & bits) == bits
+
+
+def repeated_keys(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarray]], words: int, at_once: int = 1 << 21) -> np.ndarray:
+    """A filter that holds every repeated hash, and of the others next to none but what repeated ones hide.
+
+    Tasks send what they have seen as sorted lists of 32 bits for each segment, and a segment's lists are merged by one
+    task, so hashes that occur once never reach the filter, however many there are: it fills with the repeated ones only.
+    A task holds `at_once` hashes, and the task of a segment the segment's; the driver collects a filter of fixed size.
+    """
+    import zstandard
+
+    def send(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, counts = np.unique(np.concatenate(parts), return_counts=True)
+        keys = np.repeat(keys, np.minimum(counts, 2))  # twice here is repeated for sure
+        seg, key = split(keys, words)
+        order = np.lexsort((key, seg))
+        seg, key = seg[order], key[order]
+        bounds = np.append(np.flatnonzero(np.append(True, seg[1:] != seg[:-1])), len(seg)).tolist()
+        for lo in range(0, len(bounds) - 1, 512):
+            part = list(zip(bounds[lo : lo + 512], bounds[lo + 1 : lo + 513], strict=False))
+            yield pa.RecordBatch.from_pydict({"seg": pa.array([int(seg[a]) for a, _ in part], pa.int32()), "keys": pa.array([key[a:b].tobytes() for a, b in part], pa.binary())})
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        n = 0
+        for batch in batches:
+            for h in hashes(batch):
+                held.append(h.astype(U64))
+                n += len(h)
+                if n >= at_once:
+                    yield from send(held)
+                    held, n = [], 0
+        if n:
+            yield from send(held)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        now, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                key = np.sort(np.concatenate(held))
+                again = np.unique(key[1:][key[1:] == key[:-1]])
+                if len(again):
+                    own = np.zeros(SEGMENT, U64)
+                    _set(own, *_marks(again))
+                    yield pa.RecordBatch.from_pydict({"seg": pa.array([now], pa.int32()), "twice": [pack(own.tobytes())]})
+
+        for batch in batches:
+            for seg, keys in zip(batch["seg"].to_pylist(), batch["keys"].to_pylist(), strict=True):
+                if seg != now:
+                    yield from done()
+                    now, held = seg, []
+                held.append(np.frombuffer(keys, np.uint32))
+        yield from done()
+
+    spark = rows.sparkSession
+    sent = rows.mapInArrow(fill, "seg int, keys binary")
+    merged = sent.repartition(partitions(spark), "seg").sortWithinPartitions("seg").mapInArrow(merge, "seg int, twice binary")
+    out = np.zeros(words, U64)
+    for row in merged.toLocalIterator():
+        out[row.seg * SEGMENT : (row.seg + 1) * SEGMENT] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row.twice)), U64)
+    return out

@@ -1,22 +1,25 @@
 """Exact substring dedup: bytes that a string of `length` bytes covers which also starts earlier are removed.
 
-The suffixes are sorted by bucket-pointer refinement.  A suffix's bucket at depth m is the identifier of its first m
-bytes; buckets of depth 2m follow from the buckets at offsets 0 and m, and every refinement reuses the one before, so
-depths 4, 8, 16, 32, 64 and `length` take a handful of passes over a text.  Identifiers are 64-bit mixes (depths 4 and 8
-are exact), the same in every task; what decides a removal carries two independent ones, 128 bits.
-
-Sorting all suffixes would shuffle every byte many times over.  The initial buckets (q-grams of 32 bytes) are therefore
-entered at anchors only: of every `length` bytes the leftmost q-gram with the smallest identifier.  All starts with one
-anchor are a run of neighbours, and equal strings have their anchors at equal offsets.  A bucket with one member needs no
-refinement: two Bloom filters find the q-grams that repeat, and only their runs go on.
+Suffixes are sorted by bucket-pointer refinement (`refine`).  They start in the buckets of their first 8 bytes; a
+suffix's pointer is the place at which its bucket begins.  Buckets with several members are sorted by the pointers of
+the suffixes `depth` further on, which splits them to twice the depth; the new pointers are what the next round sorts
+by.  What shares a bucket at depth `length` is equal, byte by byte.
+
+Sorting all suffixes of a corpus would shuffle every byte many times over.  Suffixes are therefore brought together by
+q-grams of 32 bytes, entered at anchors only: of every `length` bytes the leftmost q-gram with the smallest identifier.
+All starts with one anchor are a run of neighbours, and equal strings have their anchors at equal offsets.  A q-gram
+that occurs once needs no refinement: a filter of the repeated ones lets only their runs go on.  Tasks cannot share
+pointers, so between tasks a string has an identifier of 128 bits, built the same way: that of depth 2m from those of
+depth m at offsets 0 and m.
 
 1. Within a task, runs that are equal as a whole are one bucket: its first member goes on, the others are removed.
 2. Runs are shuffled by q-gram and, within it, sorted by the bucket of the whole run; again the first goes on.
-3. Different runs of one q-gram are refined start by start to depth `length`; of each bucket the first start stays.
-   A q-gram with more runs than a task may hold is passed on start by start, for Spark to group by identifier.
+3. Different runs of one q-gram are refined to depth `length`; of each bucket the first start stays.  The starts of a
+   q-gram with more runs than a task may hold are passed on with their identifiers, for Spark to group.
 
 The order is that of doc_id, then start.  Defined results: a null text is empty; texts under `length` bytes lose nothing;
-rows with equal doc_id and text are one document; rows of one doc_id with different texts are ordered by a hash of the
+a text of any length is handled in windows of `length` bytes by the task that reads it; rows with equal doc_id and text
+are one document; rows of one doc_id with different texts are ordered by a hash of the
 text; a null doc_id comes after all others; an empty table gives an empty result.  Other columns are not read.
 """
 
@@ -55,7 +58,7 @@ def _mix(a: np.ndarray, b: np.ndarray, family: int) -> np.ndarray:
 
 
 class Buckets:
-    """Bucket identifiers of all suffixes of a buffer at depths 32 and 64, and from them at any depth from 64 to 192."""
+    """Identifiers of all suffixes of a buffer at depths 32 and 64, and from them at any depth from 64 to 192."""
 
     def __init__(self, raw: np.ndarray, family: int, to: int = 64):
         padded = np.concatenate([raw, np.zeros(to, np.uint8)]).astype(U64)
@@ -127,6 +130,41 @@ def _later(by: np.ndarray, head: np.ndarray, order: tuple[np.ndarray, ...]) -> n
     return out
 
 
+def refine(raw: np.ndarray, length: int) -> np.ndarray:
+    """The bucket pointers of all suffixes of `raw` at depth `length` (8 at least): equal where the first `length` bytes are.
+
+    Bytes after the end count as zeros.
+    """
+    n = len(raw)
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)]).astype(U64)
+    gram = np.zeros(n, U64)
+    for k in range(8):
+        gram = gram << U64(8) | padded[k : k + n]
+    order = np.argsort(gram, kind="stable")
+    new = np.append(True, gram[order[1:]] != gram[order[:-1]])[:n]
+    pointer = np.zeros(n, np.int64)
+    pointer[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+    depth = 8
+    while depth < length:
+        step = min(depth, length - depth)
+        size = np.bincount(pointer, minlength=n)
+        open_ = np.flatnonzero(size[pointer] > 1)
+        if not len(open_):
+            break
+        # suffixes that end before the later offset come before all others
+        later = np.where(open_ + step < n, pointer[np.minimum(open_ + step, n - 1)], -1)
+        by = np.lexsort((later, pointer[open_]))
+        at, later = open_[by], later[by]
+        own = pointer[at]
+        first = np.append(True, own[1:] != own[:-1])
+        new = first | np.append(True, later[1:] != later[:-1])
+        place = np.arange(len(at))
+        # a bucket's members keep its places: a part begins as far into it as its first member comes
+        pointer[at] = own + np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(first, place, 0))
+        depth += step
+    return pointer
+
+
 def _refine(table: dict[str, np.ndarray], texts: list[bytes], length: int) -> Iterator[pa.RecordBatch]:
     """Step 3 for whole q-grams: the removed starts of different runs, as spans of the starts."""
     raw = np.frombuffer(b"".join(texts), np.uint8)
@@ -134,10 +172,10 @@ def _refine(table: dict[str, np.ndarray], texts: list[bytes], length: int) -> It
     n = (table["place"] >> 8) & 0xFF
     row = np.repeat(np.arange(len(n)), n)
     x = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-    h1, h2 = (Buckets(raw, f).string(base[row] + x, length) for f in (0, 1))
+    bucket = refine(raw, length)[base[row] + x]
     start = (table["place"] >> 16)[row] + x
     order = (table["doc"][row], table["version"][row], start)
-    by, head = _first_of((h1, h2), order)  # equal strings have equal q-grams at equal offsets
+    by, head = _first_of((bucket,), order)
     gone = np.flatnonzero(_later(by, head, order))
     if len(gone):
         # neighbouring starts of one run are one span
@@ -204,7 +242,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, most_runs: int = MOST_RUN
             raw, start, _ = textkit.buffer(own)
             yield runs(own, Buckets(raw, 0, Q), raw, start, length)[0]
 
-    twice = spark.sparkContext.broadcast(bloom.repeated(rows.select("text"), q_grams, words))
+    twice = spark.sparkContext.broadcast(bloom.repeated_keys(rows.select("text"), q_grams, words))
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, dict[str, np.ndarray]]] = []
@@ -216,7 +254,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, most_runs: int = MOST_RUN
                 raw, start, _ = textkit.buffer(own)
                 one = Buckets(raw, 0)
                 k, at, n, offset = runs(own, one, raw, start, length)
-                hit = bloom.holds(twice.value, k)
+                hit = bloom.holds_key(twice.value, k)
                 k, at, n, offset = k[hit], at[hit], n[hit], offset[hit]
                 if not len(k):
                     continue

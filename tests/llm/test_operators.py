@@ -319,6 +319,40 @@ def test_twice_filter_holds_every_repeat(spark):
     assert bloom.holds(words, mix(values[300:4000])).mean() < 0.05
 
 
+def test_filter_of_repeated_keys_is_not_filled_by_others(spark):
+    """A filter far too small for all hashes, but not for the repeated ones."""
+    rng = np.random.default_rng(3)
+    values = [int(x) for x in rng.integers(0, 1 << 62, 60_000)]
+    df = spark.createDataFrame([(v,) for v in values + values[:200]], "v long").repartition(5)
+    mix = lambda a: np.asarray(a, np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    words = bloom.repeated_keys(df, lambda batch: iter([np.asarray(batch["v"].to_numpy(), np.uint64) * np.uint64(0x9E3779B97F4A7C15)]), bloom.SEGMENT, at_once=5_000)
+    assert bloom.holds_key(words, mix(values[:200])).all()
+    assert bloom.holds_key(words, mix(values[200:])).mean() < 0.01
+
+
+def test_refinement_puts_equal_strings_in_one_bucket():
+    rng = random.Random(8)
+    for length in (8, 9, 20, 96, 100, 128):
+        parts = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 150))) for _ in range(6)]
+        raw = "".join(rng.choice(parts) for _ in range(20)).encode() + b"a" * 300
+        pointer = suffixdedup.refine(np.frombuffer(raw, np.uint8), length).tolist()
+        whole = range(len(raw) - length + 1)
+        groups = defaultdict(set)
+        for i in whole:
+            groups[raw[i : i + length]].add(pointer[i])
+        assert all(len(g) == 1 for g in groups.values()) and len(set.union(*groups.values())) == len(groups)
+        order = sorted(whole, key=lambda i: pointer[i])
+        assert [raw[i : i + length] for i in order] == sorted(raw[i : i + length] for i in whole)
+
+
+def test_suffix_dedup_of_a_very_long_text(spark):
+    rng = random.Random(14)
+    long = "".join(rng.choice("abcdefghij ") for _ in range(3_000_000))
+    rows = [(1, long[1_000_000:1_000_300]), (2, long), (3, long[:50] + long[2_500_000:2_500_150])]
+    got = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in suffixdedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: [], 2: [(1_000_000, 1_000_300)], 3: [(50, 200)]}
+
+
 def test_extra_columns_do_not_matter(docs):
     bare = docs.select("doc_id", "text")
     for f in (linededup.dedup_lines, suffixdedup.remove_repeats, neardedup.link):
