@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import ast
+import inspect
 import re
+from functools import reduce
+from types import ModuleType
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from candlewick.functions.dialects import Spark
@@ -12,7 +16,7 @@ from candlewick.operators.catalogue import BAR, MONTHLY, RECURSIVE, WEEKLY, feat
 from candlewick.operators.features import features, layers
 
 # Parts of names that only forward-looking columns have, in any case.
-FORWARD_PARTS = "label_ target fwd_ forward future next_ ret_5d_close exit_ret mfe_ mae_ tp_before_sl days_to_tp days_to_sl".split()
+FORWARD_PARTS = "_fwd fwd_ future_ _ahead lookahead mfe mae target_ label_ _next ret_1d_close_pct ret_3d_close_pct ret_5d_close_pct".split()
 
 # What families of columns are meant to capture, by the longest prefix that fits.
 HYPOTHESES = {
@@ -27,6 +31,11 @@ def is_forward_name(name: str) -> bool:
     return any(p in name.lower() for p in FORWARD_PARTS)
 
 
+def forward_name(c: str) -> Column:
+    """The same rule for a column of names."""
+    return reduce(Column.__or__, (F.contains(F.lower(c), F.lit(p)) for p in FORWARD_PARTS))
+
+
 def assert_no_forward(columns: list[str]) -> None:
     ahead = [c for c in columns if is_forward_name(c)]
     if ahead:
@@ -80,6 +89,41 @@ def static_leaks(text: dict[str, str] | None = None) -> list[str]:
     return bad
 
 
+def kernel_leaks(module: ModuleType) -> list[str]:
+    """Functions of a module of pandas kernels that read rows ahead, or a whole series at once: negative shifts, filling
+    backwards, centred windows, reversed series, and aggregates that are not over a window."""
+    windows, ahead = ("rolling", "expanding", "ewm"), ("bfill", "backfill", "interpolate")
+    whole = ("mean", "std", "var", "max", "min", "sum", "median", "quantile", "rank", "skew", "kurt")
+
+    def negative(x: ast.expr) -> bool:
+        return isinstance(x, ast.UnaryOp) and isinstance(x.op, ast.USub)
+
+    def over_window(x: ast.expr) -> bool:
+        return isinstance(x, ast.Call) and isinstance(x.func, ast.Attribute) and x.func.attr in windows
+
+    def leaks(x: ast.AST, frames: set[str]) -> bool:
+        if isinstance(x, ast.Slice):
+            return x.step is not None and negative(x.step)
+        if not isinstance(x, ast.Call) or not isinstance(x.func, ast.Attribute):
+            return False
+        name, on = x.func.attr, x.func.value
+        given = {k.arg: k.value for k in x.keywords}
+        if name in ahead or name in ("shift", "diff", "pct_change") and any(map(negative, [*x.args[:1], *(v for k, v in given.items() if k == "periods")])):
+            return True
+        if any(k in given and isinstance(given[k], ast.Constant) and given[k].value in (True, "bfill", "backward") for k in ("center", "method", "limit_direction")):
+            return True
+        windowed = over_window(on) or isinstance(on, ast.Name) and on.id in frames
+        return name in whole and not windowed and "axis" not in given and not (isinstance(on, ast.Name) and on.id == "np")
+
+    found = []
+    for f in ast.walk(ast.parse(inspect.getsource(module))):
+        if isinstance(f, ast.FunctionDef):
+            frames = {t.id for x in ast.walk(f) if isinstance(x, ast.Assign) and over_window(x.value) for t in x.targets if isinstance(t, ast.Name)}
+            if any(leaks(x, frames) for x in ast.walk(f)):
+                found.append(f.name)
+    return found
+
+
 def canary(bars: DataFrame, names: list[str] | None = None, tail: int = 12, tolerance: float = 1e-7) -> DataFrame:
     """(column, changed): how many earlier values change when the last `tail` bars of each symbol are tampered with."""
     names = [n for n in (names or feature_names()) if n != "D_is_warmup"]
@@ -120,6 +164,14 @@ def prevalence(frame: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def assert_unknowns_kept(before: DataFrame, after: DataFrame, columns: tuple[str, ...] = ("D_roll",)) -> None:
+    """Refuses a step that has turned unknown values into known ones: fewer nulls after it than before."""
+    own = [c for c in columns if c in before.columns and c in after.columns]
+    was, now = ({r["column"]: r.nulls for r in null_census(x, own).collect()} if own else {} for x in (before, after))
+    if filled := [f"{c}: {was[c] - now[c]}" for c in own if now[c] < was[c]]:
+        raise ValueError(f"unknown values were filled: {', '.join(filled)}")
+
+
 def null_census(frame: DataFrame, columns: list[str]) -> DataFrame:
     """(column, nulls): for checking that unknown values stay unknown from one step to the next."""
     counted = frame.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in columns))

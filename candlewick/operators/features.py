@@ -46,14 +46,19 @@ TRI_STATE = "D_roll D_vol_surge_20 D_vol_surge_50".split()
 
 def finalise(frame: DataFrame) -> DataFrame:
     """The frame as it is stored: without those columns, flags as bytes with unknown as 0 except where unknown is a state,
-    and no NaN or infinity."""
+    and no NaN or infinity.  Text columns that say nothing but true and false, in any case, are flags too, with all else as 0."""
     out = []
+    texts = [c for c, t in frame.dtypes if t == "string" and c not in (*DUPLICATES, *INTERMEDIATE, "symbol")]
+    said = {c: F.lower(F.trim(c)) for c in texts}
+    flags = frame.agg(*(F.coalesce(F.bool_and(x.isin("true", "false", "nan", "")), F.lit(False)).alias(c) for c, x in said.items())).first() if texts else {}
     for c, t in frame.dtypes:
         if c in DUPLICATES or c in INTERMEDIATE:
             continue
         x = F.col(c)
         if t == "boolean" or t == "int" and c.startswith(("D_", "DOW_", "Comb_")):
             x = x.cast("smallint") if c in TRI_STATE else F.coalesce(x.cast("smallint"), F.lit(0).cast("smallint"))
+        elif c in texts and flags[c]:
+            x = F.coalesce((said[c] == "true").cast("smallint"), F.lit(0).cast("smallint"))
         elif t in ("double", "float"):
             x = F.when(F.abs(x) < float("inf"), x)
         out.append(x.alias(c))

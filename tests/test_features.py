@@ -147,3 +147,36 @@ def test_contract_covers_every_feature(spark):
     assert rows["D_sma20"].lookback == 19 and rows["D_rsi14"].lookback == -1 and all(r.hypothesis for r in rows.values())
     with pytest.raises(ValueError):
         contract.assert_complete(c, ["D_unheard_of"])
+
+
+def test_forward_rule_and_kernels():
+    from candlewick.operators import recursive
+    from candlewick.operators.catalogue import feature_names
+
+    for name in ("close_fwd", "x_lookahead", "ret_1d_close_pct", "ret_3d_close_pct", "D_close_next", "days_ahead", "mfe5"):
+        assert contract.is_forward_name(name)
+    assert [n for n in feature_names() if contract.is_forward_name(n)] in ([], ["ret_5d_close_pct"])
+    assert contract.kernel_leaks(recursive) == []
+
+
+def test_kernel_leaks_are_found(tmp_path):
+    import importlib.util
+
+    bodies = ["x.shift(-1)", "x.diff(periods=-2)", "x.bfill()", "x.rolling(5, center=True).mean()", "x / x.max()", "x[::-1].cumsum()", "x.fillna(method='bfill')"]
+    good = ["x.shift(1)", "x.rolling(5).mean()", "x.expanding().rank()", "x.ewm(span=3).mean()"]
+    (tmp_path / "kernels.py").write_text("".join(f"def f{i}(x):\n    return {b}\n" for i, b in enumerate(bodies + good)))
+    spec = importlib.util.spec_from_file_location("kernels", tmp_path / "kernels.py")
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    assert contract.kernel_leaks(module) == [f"f{i}" for i in range(len(bodies))]
+
+
+def test_words_for_true_become_flags_and_unknowns_are_kept(spark):
+    from candlewick.operators.features import finalise
+
+    df = spark.createDataFrame([("A", "True", "x", 1.0), ("B", " false ", "true", None), ("C", None, "false", 2.0)], "symbol string, flag string, word string, D_roll double")
+    got = finalise(df).orderBy("symbol").collect()
+    assert [r.flag for r in got] == [1, 0, 0] and [r.word for r in got] == ["x", "true", "false"] and [r.symbol for r in got] == ["A", "B", "C"]
+    contract.assert_unknowns_kept(df, df)
+    with pytest.raises(ValueError):
+        contract.assert_unknowns_kept(df, df.na.fill(0.0))
