@@ -58,5 +58,5 @@ def sample_symbols(bars: DataFrame, n: int = 10, edge: int = 5, seed: int = 42)
     sized = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("k"))
     low = sized.orderBy("k", "symbol").limit(edge).select("symbol", F.lit("smallest").alias("why"))
     high = sized.orderBy(F.desc("k"), "symbol").limit(edge).select("symbol", F.lit("largest").alias("why"))
-    rest = sized.join(low.union(high), "symbol", "left_anti").orderBy(F.xxhash64(F.lit(seed), "symbol"), "symbol").limit(n).select("symbol", F.lit("random").alias("why"))
+    rest = sized.join(low.union(high), "symbol", "left_anti").orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("symbol").cast("string")).cast("binary")), "symbol").limit(n).select("symbol", F.lit("random").alias("why"))
     return low.union(high).union(rest)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from candlewick.config import SEED
 from candlewick.operators import metrics, splits
-from candlewick.sources.files import json_hash, save_predictions
+from candlewick.sources.files import json_hash, read_json, save_predictions, write_json
 
 
 @dataclass(frozen=True)
@@ -112,11 +112,21 @@ def fold_metrics(predictions: DataFrame, hurdle: float = 0.5) -> DataFrame:
     return metrics.losses(predictions, by).join(metrics.auc(predictions, by, score="p_cal"), by).join(best, by)
 
 
-def tournament(panel: DataFrame, experiments: Iterable[Experiment], out: str | None = None, n_splits: int = 5, budget_s: float | None = None, done: set[tuple[str, int]] = frozenset()) -> DataFrame:
+def tournament(panel: DataFrame, experiments: Iterable[Experiment], out: str | None = None, n_splits: int = 5, budget_s: float | None = None, done: set[tuple[str, int]] = frozenset(), panel_signature: str = "") -> DataFrame:
     """Predictions of all experiments over all folds, in the order given, until the time budget is spent.
 
-    Finished folds in `done` are skipped; with `out`, each fold is written as it ends, and reading `out` resumes a run.
+    Finished folds in `done` are skipped.  With `out`, each fold is written as it ends and noted beside it, so that the
+    next run with the same `out` goes on where this one stopped; an experiment that is noted there with another signature
+    (its settings, the number of folds, or `panel_signature`) is refused.
     """
+    spark = panel.sparkSession
+    experiments = list(experiments)
+    state = (read_json(spark, f"{out}_state") if out else None) or {"signatures": {}, "done": []}
+    signs = {e.name: e.signature(f"{panel_signature}/{n_splits}") for e in experiments}
+    if changed := [n for n, s in signs.items() if state["signatures"].get(n, s) != s]:
+        raise ValueError(f"stored with other settings: {', '.join(changed)}")
+    state["signatures"].update(signs)
+    done = {*done, *((n, f) for n, f in state["done"])}
     folds = splits.walk_forward(panel, n_splits).orderBy("fold").collect()
     frame = panel.sparkSession.createDataFrame(folds)
     inner = {r.fold: r.asDict() for r in splits.inner_split(panel, frame).collect()}
@@ -130,6 +140,8 @@ def tournament(panel: DataFrame, experiments: Iterable[Experiment], out: str | N
             got = run_fold(panel, e, f.asDict(), inner[f.fold])
             if out:
                 save_predictions(got, out)
+                state["done"].append([e.name, f.fold])
+                write_json(spark, state, f"{out}_state")
             else:
                 every = got if every is None else every.unionByName(got)
     if out:

@@ -119,15 +119,24 @@ def exogenous(frame: DataFrame, series: dict[str, tuple[DataFrame, int]], sessio
     return frame if together is None else frame.join(small(together), "session", "left")
 
 
-def build(bars: DataFrame, config: PanelConfig = PanelConfig(), market: DataFrame | None = None, series: dict[str, tuple[DataFrame, int]] | None = None) -> DataFrame:
-    """The whole panel from the bars of all symbols."""
+def build(bars: DataFrame, config: PanelConfig = PanelConfig(), market: DataFrame | None = None, series: dict[str, tuple[DataFrame, int]] | None = None, since=None) -> DataFrame:
+    """The whole panel from the bars of all symbols, or only its sessions from `since` on.
+
+    With `since`, what compares symbols works on those sessions alone, and the floor on as many earlier bars of each
+    symbol as its median looks back over; values are those of the whole panel.
+    """
     names = list(config.features) or None
     wanted = None if names is None else list(dict.fromkeys([*names, *config.cross_sectional, "D_dollar_vol", "D_ret_1d_pct", "D_realvol_20", "D_is_warmup"]))
     kept = min_history(bars)
     frame = features(kept, wanted)
     labelled = labels(kept, config.horizon)
     frame = drop_warmup(frame).drop("ret_5d_close_pct").join(labelled, ["symbol", "session"], "left")
+    if since is not None:
+        before = F.row_number().over(Window.partitionBy("symbol", F.col("session") >= F.lit(since)).orderBy(F.desc("session")))
+        frame = frame.withColumn("_before", before).filter((F.col("session") >= F.lit(since)) | (F.col("_before") < LIQ_WINDOW)).drop("_before")
     frame = liquidity_floor(frame, config.liquidity_floor)
+    if since is not None:
+        frame = frame.filter(F.col("session") >= F.lit(since))
     frame = cross_section(frame, config.cross_sectional)
     if market is not None:
         frame = market_relative(frame, market)
@@ -166,22 +175,21 @@ def upsert(stored: DataFrame, fresh: DataFrame, since, allowed: DataFrame | None
 def refresh(bars: DataFrame, path: str, config: PanelConfig = PanelConfig(), market: DataFrame | None = None, series: dict[str, tuple[DataFrame, int]] | None = None) -> str:
     """Brings a stored panel up to date: `incremental` where it was built from the same symbols and settings, else `full`.
 
-    An incremental run replaces the months that hold the last `rebuild_days` sessions and what came after; features
-    read whole histories either way, so that both give the same rows.
+    An incremental run builds and replaces the months that hold the last `rebuild_days` sessions and what came after.
+    Features read whole histories of a symbol either way, since some depend on all of it, so that both give the same rows.
     """
     from candlewick.sources import files
 
     spark = bars.sparkSession
     mark = signature(config, universe_hash(bars.select("symbol").distinct()).first()[0])
     stored = files.read_json(spark, f"{path}_signature")
-    built = build(bars, config, market, series)
     if stored and stored.get("signature") == mark:
         last = files.read_panel(spark, path, ["session"]).distinct().orderBy(F.desc("session")).limit(config.rebuild_days).agg(F.min("session")).first()[0]
         if last is not None:
             since = last.replace(day=1)
-            files.write_panel(built.filter(F.col("session") >= F.lit(since)), path, dynamic=True)
+            files.write_panel(build(bars, config, market, series, since), path, dynamic=True)
             return "incremental"
-    files.write_panel(built, path)
+    files.write_panel(build(bars, config, market, series), path)
     files.write_json(spark, {"signature": mark}, f"{path}_signature")
     return "full"
 

@@ -31,6 +31,12 @@ def test_a_tournament_learns_resumes_and_reports(spark, panel, tmp_path):
     assert got[got.experiment == "base"].auc.min() > 0.7 > got[got.experiment == "noise"].auc.max()
     assert done.filter("p_cal < 0 OR p_cal > 1").count() == 0
     assert experiments[0].signature("a") != experiments[0].signature("b")
+    # the stored state resumes a run by itself, and refuses changed settings
+    before = {str(f): f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")}
+    models.tournament(panel, experiments, out, n_splits=3)
+    assert {str(f): f.stat().st_mtime_ns for f in tmp_path.rglob("*.parquet")} == before
+    with pytest.raises(ValueError, match="base"):
+        models.tournament(panel, [models.Experiment("base", "logistic", ("f1",), "label_tp_before_sl")], out, n_splits=3)
 
 
 def test_calibration_of_one_class_clips(spark):
