@@ -278,9 +278,11 @@ def ticker_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("c_custkey", text.normalise("raw").alias("ticker"))
 
 
-@query("date_parse", """SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 5 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS d FROM orders WHERE o_orderkey % 6 <> 3 OR day(o_orderdate) > 12""")
+@query("date_parse", """SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 5 THEN NULL WHEN o_orderkey % 6 = 3 AND day(o_orderdate) <= 12 THEN make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate))
+  ELSE CAST(o_orderdate AS DATE) END AS d FROM orders""")
 def date_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 6 <> 3 OR day(o_orderdate) > 12")
+    """What can be read as day and month, or as month and day, is read as the former."""
+    o = table(spark, sf_dir, "orders")
     written = F.expr("""CASE o_orderkey % 6 WHEN 0 THEN date_format(o_orderdate, 'yyyy-MM-dd') WHEN 1 THEN date_format(o_orderdate, 'dd-MM-yyyy') WHEN 2 THEN date_format(o_orderdate, 'dd/MM/yyyy')
         WHEN 3 THEN date_format(o_orderdate, 'MM/dd/yyyy') WHEN 4 THEN date_format(o_orderdate, 'dd.MM.yyyy') ELSE 'soon' END""")
     return o.select("o_orderkey", written.alias("raw")).select("o_orderkey", text.parse_date("raw").alias("d"))

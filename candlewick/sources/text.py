@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import difflib
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Header words that are no symbols, suffixes that a ticker loses in this order, date formats in order of trial.
 HEADER_WORDS = "symbol symbols ticker tickers tradingsymbol name nan none null".split()
@@ -58,19 +61,43 @@ def resolve(wanted: DataFrame, instruments: DataFrame, overrides: DataFrame | No
     return j.select("symbol", F.coalesce("_t0", "_t1", "_t2", "_t3").alias("token"), rule.alias("rule"))
 
 
+@F.pandas_udf(T.DoubleType())
+def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def _grams(c: str) -> Column:
+    """Pairs of neighbouring letters, and single letters of names of up to three."""
+    n = F.length(c)
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(F.col(c), i, F.lit(2)))
+    return F.array_distinct(F.concat(pairs, F.when(n <= 3, F.split(c, "")).otherwise(F.array().cast("array<string>"))))
+
+
 def suggestions(unresolved: DataFrame, instruments: DataFrame, top: int = 3, cutoff: float = 0.77) -> DataFrame:
-    """(symbol, suggestion, similarity): the closest names by edit distance among those that share the first letter."""
-    a = unresolved.select("symbol", normalise("symbol").alias("_a")).filter("_a <> ''").withColumn("_k", F.left("_a", F.lit(1)))
-    b = instruments.select(F.col("tradingsymbol").alias("suggestion"), normalise("tradingsymbol").alias("_b")).filter("_b <> ''").distinct().withColumn("_k", F.left("_b", F.lit(1)))
-    close = 1 - F.levenshtein("_a", "_b") / F.greatest(F.length("_a"), F.length("_b"))
-    pairs = a.join(b, "_k").withColumn("similarity", close).filter(F.col("similarity") >= cutoff)
+    """(symbol, suggestion, similarity): the closest of all names by the ratio of their matching parts.
+
+    Names of which at least 0.77 matches share two neighbouring letters: between k letters that match one by one there
+    are k - 1 others, more than 0.6 k if k is above two.  So they meet by these, and by single letters if they are short.
+    """
+    if cutoff < 0.77:
+        raise ValueError("below 0.77 names may match without sharing two letters in a row")
+    a = unresolved.select("symbol", normalise("symbol").alias("_a")).filter("_a <> ''").distinct().withColumn("_k", F.explode(_grams("_a")))
+    b = instruments.select(F.col("tradingsymbol").alias("suggestion"), normalise("tradingsymbol").alias("_b")).filter("_b <> ''").distinct().withColumn("_k", F.explode(_grams("_b")))
+    # 2 * the shorter one's length over both is the most that the ratio can be
+    possible = 2 * F.least(F.length("_a"), F.length("_b")) >= cutoff * (F.length("_a") + F.length("_b"))
+    met = a.join(b, "_k").filter(possible).select("symbol", "suggestion", "_a", "_b").distinct()
+    pairs = met.withColumn("similarity", _ratio("_a", "_b")).filter(F.col("similarity") >= cutoff)
     w = Window.partitionBy("symbol").orderBy(F.desc("similarity"), "suggestion")
     return pairs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= top).select("symbol", "suggestion", "similarity")
 
 
 def read_symbols(spark: SparkSession, path: str) -> DataFrame:
-    """A text file of symbols: one or more per line."""
-    lines = spark.read.text(path).withColumn("pos", F.monotonically_increasing_id())
+    """Symbols from a file: of a CSV the first column, of other text one or more per line."""
+    if path.lower().endswith((".csv", ".csv.gz")):
+        lines = spark.read.option("header", "false").csv(path).select(F.col("_c0").alias("value"))
+    else:
+        lines = spark.read.text(path)
+    lines = lines.withColumn("pos", F.monotonically_increasing_id())
     return symbols(lines)
 
 

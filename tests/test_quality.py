@@ -140,3 +140,20 @@ def test_series_files(spark, tmp_path):
     assert {r.symbol: r.verified for r in gate.verified(got, meta, "v2").collect()} == {"ABC": True, "DEF": True}
     assert files.fetch_chunks(spark, "2010-01-01", "2020-12-31").count() == 3
     assert files.json_hash({"b": 1, "a": 2}) == files.json_hash({"a": 2, "b": 1})
+
+
+def test_suggestions_come_from_all_names(spark):
+    import difflib
+
+    wanted = ["INFOSYS", "XRELIANCE", "AB", "ABC", "TATASTEL", "ZZZ"]
+    names = ["INFOSYS-EQ", "INFSYS", "RELIANCE", "TATASTEEL", "BA", "ABD", "B", "TATA", "AXBXC"]
+    frame = lambda x, c: spark.createDataFrame([(n,) for n in x], f"{c} string")
+    got = {(r.symbol, r.suggestion) for r in text.suggestions(frame(wanted, "symbol"), frame(names, "tradingsymbol"), top=99).collect()}
+    plain = lambda n: n.removesuffix("-EQ")
+    assert got == {(w, n) for w in wanted for n in names if difflib.SequenceMatcher(None, w, plain(n)).ratio() >= 0.77}
+    assert ("XRELIANCE", "RELIANCE") in got
+
+
+def test_symbols_of_the_first_csv_column(spark, tmp_path):
+    (tmp_path / "s.csv").write_text("Symbol,Weight\nAAA,1\n\"B B\",2\naaa,3\n")
+    assert [r.symbol for r in text.read_symbols(spark, str(tmp_path / "s.csv")).orderBy("pos").collect()] == ["AAA", "B_B"]
