@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from candlewick.llm.runtime import partitions
+from candlewick.llm.runtime import partitions, tidy
 
 CELL = ("_group", "_i", "_j")
 
@@ -89,4 +89,4 @@ def grouped(rows: DataFrame, by: list[str], keys: list[str], row_id: str, functi
             yield from function(pa.Table.from_batches(held))
 
     spread = rows.repartition(partitions(rows.sparkSession), *by).sortWithinPartitions(*keys, row_id)
-    return spread.mapInArrow(run, schema)
+    return spread.mapInArrow(tidy(run), schema)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from candlewick.llm import textkit
-from candlewick.llm.runtime import partitions
+from candlewick.llm.runtime import partitions, tidy
 
 COUNTERS, SEGMENTS = 1 << 18, 64
 
@@ -48,7 +48,7 @@ def count(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarra
             yield pa.RecordBatch.from_pydict({"seg": pa.array([seg], pa.int32()), "n": pa.array([zlib.compress(n.tobytes(), 1)], pa.binary())})
 
     schema = "seg int, n binary"
-    merged = rows.mapInArrow(fill, schema).repartition(min(SEGMENTS, partitions(rows.sparkSession)), "seg").mapInArrow(merge, schema)
+    merged = rows.mapInArrow(tidy(fill), schema).repartition(min(SEGMENTS, partitions(rows.sparkSession)), "seg").mapInArrow(tidy(merge), schema)
     out = np.zeros((SEGMENTS, width), np.int64)
     for row in merged.toLocalIterator():
         out[row.seg] = np.frombuffer(zlib.decompress(bytes(row.n)), "<i8")

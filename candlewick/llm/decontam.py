@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from candlewick.llm import textkit
-from candlewick.llm.runtime import cut, small_batches
+from candlewick.llm.runtime import cut, small_batches, tidy
 
 #: Bytes of benchmark text that are searched for at once, and so the bound of what is broadcast; a larger benchmark is
 #: searched for block by block.
@@ -141,7 +141,7 @@ def build(docs: DataFrame, key: str = "doc_id") -> DataFrame:
                 block += 1
 
     schema = f"block long, keys array<{kind}>, n_words array<long>, terms binary, ends binary, postings binary"
-    return cut(docs.select(F.col(key).alias("_key"), "text").mapInArrow(part, schema))
+    return cut(docs.select(F.col(key).alias("_key"), "text").mapInArrow(tidy(part), schema))
 
 
 def _present(terms: bytes, ends: bytes, number: dict[bytes, int]) -> list[tuple[int, int, int]]:
@@ -165,7 +165,7 @@ def _rarity(index: DataFrame, queries) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=("term", "n"))
 
     out = np.zeros(n_terms, np.int64)
-    for row in index.select("terms", "ends").mapInArrow(count, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+    for row in index.select("terms", "ends").mapInArrow(tidy(count), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
         out[row.term] = row.n
     return out
 
@@ -286,4 +286,4 @@ def _search(index: DataFrame, block: list[Item], width: int, slop: int) -> DataF
                     names=("block", "place", "key", "n_words", "spans", "items"),
                 )
 
-    return index.mapInArrow(part, f"block long, place long, key {kind.simpleString()}, n_words long, spans array<struct<start: long, end: long>>, items array<string>")
+    return index.mapInArrow(tidy(part), f"block long, place long, key {kind.simpleString()}, n_words long, spans array<struct<start: long, end: long>>, items array<string>")

@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from candlewick.llm import cells, counters, textkit
 from candlewick.llm.components import components, roots
-from candlewick.llm.runtime import cut, partitions, small_batches
+from candlewick.llm.runtime import cut, partitions, small_batches, tidy
 
 U64 = np.uint64
 COORDINATES = 64
@@ -85,7 +85,7 @@ def _describe(rows: DataFrame, shingle: int) -> DataFrame:
                     names=("doc_id", "version", "n_shingles", "set_id", "signature"),
                 )
 
-    return rows.mapInArrow(part, "doc_id long, version long, n_shingles long, set_id binary, signature binary")
+    return rows.mapInArrow(tidy(part), "doc_id long, version long, n_shingles long, set_id binary, signature binary")
 
 
 def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -152,9 +152,9 @@ def _lists(classes: DataFrame, least: int) -> DataFrame:
                 [pa.array(x.astype(np.int64)) for x in out[:3]] + [pa.array(out[3].astype(np.int32))], names=("token", "node", "first", "split")
             )
 
-    posted = classes.select("node", "signature").mapInArrow(post, "token long, node long, split int")
+    posted = classes.select("node", "signature").mapInArrow(tidy(post), "token long, node long, split int")
     dealt = posted.repartition(partitions(spark), "token", "split").sortWithinPartitions("token", "split", "node")
-    return cut(dealt.mapInArrow(merge, "token long, node long, first long, split int"))
+    return cut(dealt.mapInArrow(tidy(merge), "token long, node long, first long, split int"))
 
 
 def _collisions(a: np.ndarray, b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -203,7 +203,7 @@ def _families(classes: DataFrame, least: int) -> DataFrame:
                 yield batch.select(["a", "b"]).filter(pa.array(hit))
 
     paired = candidates.join(signed.toDF("a", "x"), "a").join(signed.toDF("b", "y"), "b").select("a", "b", "x", "y")
-    first = cut(paired.mapInArrow(matching, "a long, b long"), narrow=True)
+    first = cut(paired.mapInArrow(tidy(matching), "a long, b long"), narrow=True)
 
     def connect(cell: pa.Table) -> Iterator[pa.RecordBatch]:
         node, component = cell["node"].to_numpy(), cell["component"].to_numpy()

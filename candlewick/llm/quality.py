@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candlewick.llm import textkit
-from candlewick.llm.runtime import small_batches
+from candlewick.llm.runtime import small_batches, tidy
 
 U64 = np.uint64
 
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Model:
                     names=("doc_id", "label", "at", "n"),
                 )
 
-    rows = sample.mapInArrow(count, "doc_id long, label int, at binary, n binary").toLocalIterator()
+    rows = sample.mapInArrow(tidy(count), "doc_id long, label int, at binary, n binary").toLocalIterator()
     got = sorted(((r.doc_id, bytes(r.at), bytes(r.n), r.label) for r in rows), key=lambda r: r[0])
     return train([(np.frombuffer(a, "<i4"), np.frombuffer(n, "<i4"), y) for _, a, n, y in got], config)
 
@@ -195,7 +195,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
                 [*batch.columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], names=[*batch.schema.names, "score", "predicted"]
             )
 
-    return docs.select(*kept).mapInArrow(part, schema)
+    return docs.select(*kept).mapInArrow(tidy(part), schema)
 
 
 def accept(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -209,7 +209,7 @@ def accept(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
                 z = shared.value.logits(textkit.as_bytes(batch["text"].slice(lo, hi - lo)))
                 yield batch.slice(lo, hi - lo).filter(pa.array(1 / (1 + np.exp(-np.clip(z, -700, 700))) >= threshold))
 
-    return docs.mapInArrow(part, docs.schema)
+    return docs.mapInArrow(tidy(part), docs.schema)
 
 
 def held_out(doc_id: str = "doc_id"):

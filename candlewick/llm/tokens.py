@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from candlewick.llm.bpe import CALL_CHARS, Encoder
 from candlewick.llm.planes import Reader, Writer
-from candlewick.llm.runtime import cut, fresh_dir, partitions, small_batches
+from candlewick.llm.runtime import cut, fresh_dir, partitions, small_batches, tidy
 
 END_ID = 2
 _FILES = "file_no int, path string, n_docs long, n_ids long"
@@ -63,7 +63,7 @@ def write(docs: DataFrame, out: str, tokenizer: str, end_id: int | None = END_ID
     # the beginning only says which range a text of a repeated doc_id goes to; whole texts are sorted and written
     begin = F.substring("text", 1, 32)
     dealt = rows.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id"), begin).sortWithinPartitions("doc_id", "text")
-    return cut(dealt.mapInArrow(part, _FILES))
+    return cut(dealt.mapInArrow(tidy(part), _FILES))
 
 
 def _calls(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str | None]]]:
@@ -110,7 +110,7 @@ def read(files: DataFrame) -> DataFrame:
     n = partitions(files.sparkSession)
     upto = Window.partitionBy(F.lit(0)).orderBy("file_no").rowsBetween(Window.unboundedPreceding, 0)  # a row per file
     starts = files.select("file_no", "path", (F.sum("n_ids").over(upto) - F.col("n_ids")).alias("before"))
-    return starts.repartition(n, "file_no").mapInArrow(part, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return starts.repartition(n, "file_no").mapInArrow(tidy(part), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
