@@ -389,3 +389,21 @@ def test_shards_are_cut_from_fractional_ranks(spark):
         want[d] = (shard, pos - -(-shard * n // 24))
     got = sharding.interleave(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5))
     assert {r.doc_id: (r.shard, r.slot) for r in got.collect()} == want
+
+
+def test_tidy_passes_all_batches_and_errors_on():
+    import pyarrow as pa
+
+    from candlewick.llm.runtime import tidy
+
+    batches = [pa.RecordBatch.from_pydict({"a": [i]}) for i in range(3)]
+    assert list(tidy(lambda got: got)(iter(batches))) == batches and list(tidy(lambda got: got)(iter([]))) == []
+
+    def fails(got):
+        yield next(got)
+        raise ValueError("in the part")
+
+    run = tidy(fails)(iter(batches))
+    assert next(run) == batches[0]
+    with pytest.raises(ValueError, match="in the part"):
+        next(run)
