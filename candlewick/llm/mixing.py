@@ -13,7 +13,7 @@ doc_id, text and source are carried only by `mixed`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from candlewick.llm.running import hash_key, hash_slice, running, slices_for
@@ -59,32 +59,80 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs:
     )
 
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 7, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) and the columns in `keep`, one row per document.
+def _counted(docs: DataFrame, seed: int) -> DataFrame:
+    """(doc_id, _id, size, source_key, _key, _slice) for each document, written once: words are counted in one pass."""
+    rows = cut(
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"),
+            F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+            _source_key().alias("source_key"),
+            hash_key(F.col("doc_id"), F.col("text"), seed=seed).alias("_key"),
+        )
+    )
+    return rows.withColumn("_slice", hash_slice(F.col("_key"), slices_for(rows.count())))
+
+
+def _source_key() -> Column:
+    """Sorts by code point, null last: UTF-8 binary order is code point order."""
+    return F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1"))
+
+
+def _budgets(rows: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+    """(source_key, source_size, target, _epochs, _rest), one row per source: whole epochs and the words of the last one."""
+    goal = targets(rows.groupBy("source_key").agg(F.sum("size").alias("source_size")), weights, max_epochs)
+    return (
+        goal.withColumn("_budget", F.least(F.round("target").cast("long"), F.col("source_size") * max_epochs))
+        .withColumn("_epochs", F.expr("CASE WHEN source_size > 0 THEN _budget div source_size ELSE 0 END"))
+        .withColumn("_rest", F.col("_budget") - F.col("_epochs") * F.col("source_size"))
+        .drop("_budget")
+    )
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    """`rows` with `_before`, the words of the documents that stand before each one in its source's order."""
+    return running(rows, ["source_key"], "_slice", ["_key", "_id", "size"], F.col("size"), "_before", "_of")
+
+
+def plan(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: int = 7) -> DataFrame:
+    """(doc_id, size, source_size, target, taken), one row per document.
 
     `taken` is the number of words that the mix takes from the document, repeats counted; a source's add up to
     its target rounded to whole words.
     """
-    slices = slices_for(docs.count())
-    rows = docs.select(
-        *keep,
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        # sorts by code point, null last: UTF-8 binary order is code point order
-        F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1")).alias("source_key"),
-        hash_key(F.col("doc_id"), F.col("text"), seed=seed).alias("_key"),
-    ).withColumn("_slice", hash_slice(F.col("_key"), slices))
-    if not keep:
-        rows = cut(rows)  # words are counted once, and both passes below read the counts
-    goal = targets(rows.groupBy("source_key").agg(F.sum("size").alias("source_size")), weights, max_epochs)
-    summed = running(rows, ["source_key"], "_slice", ["_key", "doc_id", "size"], F.col("size"), "_before", "_of")
-    budget = F.round("target").cast("long")
-    with_goal = summed.join(goal, "source_key").withColumn("_budget", F.least(budget, F.col("source_size") * max_epochs))
-    epochs = F.expr("CASE WHEN source_size > 0 THEN _budget div source_size ELSE 0 END")
-    rest = F.col("_budget") - epochs * F.col("source_size")
-    last = F.greatest(F.lit(0).cast("long"), F.least(rest - F.col("_before"), F.col("size")))
-    return with_goal.withColumn("taken", epochs * F.col("size") + last).select(
-        *keep, "doc_id", "size", "source_size", "target", "taken"
+    rows = _counted(docs, seed)
+    last = F.greatest(F.lit(0).cast("long"), F.least(F.col("_rest") - F.col("_before"), F.col("size")))
+    return (
+        _summed(rows)
+        .join(_budgets(rows, weights, max_epochs), "source_key")
+        .withColumn("taken", F.col("_epochs") * F.col("size") + last)
+        .select("doc_id", "size", "source_size", "target", "taken")
+    )
+
+
+def _ends(rows: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+    """Where each source's budget ends, one row per source that has words.
+
+    (_epochs, _end, _left, _twins): documents at a place before `_end`, a struct of key, id and size, are taken once
+    more than `_epochs` times; `_left` words are taken at that place, which `_twins` equal rows hold.
+    """
+    goal = _budgets(rows, weights, max_epochs)
+    at = (
+        _summed(rows)
+        .join(goal, "source_key")
+        .filter("_before + size > _rest")
+        .groupBy("source_key", "_epochs", "_rest")
+        .agg(F.min(F.struct("_key", "_id", "size")).alias("_end"))
+    )
+    place = F.struct("_key", "_id")
+    return (
+        rows.join(cut(at, narrow=True), "source_key")
+        .groupBy("source_key", "_epochs", "_rest", "_end")
+        .agg(
+            F.coalesce(F.sum(F.when(place < F.struct("_end._key", "_end._id"), F.col("size"))), F.lit(0)).alias("_until"),
+            F.count(F.when(place == F.struct("_end._key", "_end._id"), 1)).alias("_twins"),
+        )
+        .select("source_key", "_epochs", "_end", (F.col("_rest") - F.col("_until")).alias("_left"), "_twins")
     )
 
 
@@ -93,13 +141,44 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int
 
     Whole takes repeat the row.  The one document per source at which the budget ends is cut after its last
     taken word, with `n_chars`, where there is such a column, set to the length that is left.
+
+    Only keys and counts are shuffled.  Texts are read a second time and compared with the place at which their
+    source's budget ends; the table of these places is broadcast if Spark finds it small.  Where equal rows share
+    such a place, these rows alone are numbered.
     """
-    packed = docs.select("doc_id", "text", "source", F.struct(*[docs[c] for c in docs.columns]).alias(_ROW))
-    taken = plan(packed, weights, max_epochs, seed, keep=(_ROW,)).filter("taken > 0")
-    copies = taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.expr("(taken + size - 1) div size"))))
-    left = F.least(F.col("size"), F.col("taken") - (F.col("_copy") - 1) * F.col("size"))
+    ends = cut(_ends(_counted(docs, seed), weights, max_epochs), narrow=True)
+    placed = (
+        docs.select(
+            F.struct(*[docs[c] for c in docs.columns]).alias(_ROW),
+            _source_key().alias("source_key"),
+            F.struct(
+                hash_key(F.col("doc_id"), F.col("text"), seed=seed).alias("_key"),
+                F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_id"),
+            ).alias("_place"),
+        )
+        .filter(F.col(f"{_ROW}.text").rlike(WORD))
+        .join(ends, "source_key")
+        .withColumn("_stop", F.struct("_end._key", "_end._id"))
+        .withColumn("_nth", F.lit(0).cast("long"))
+    )
+    if not ends.filter("_twins > 1").isEmpty():
+        shared = (F.col("_place") == F.col("_stop")) & (F.col("_twins") > 1)
+        nth = (F.row_number().over(Window.partitionBy("source_key").orderBy("_place")) - 1).cast("long")
+        placed = placed.filter(~shared).unionByName(placed.filter(shared).withColumn("_nth", nth))
+    # words of the last epoch: null where the whole document is taken
+    size = F.col("_end.size")
+    at_end = F.greatest(F.lit(0).cast("long"), F.least(F.col("_left") - F.col("_nth") * size, size))
+    part = F.when(F.col("_place") == F.col("_stop"), F.when(at_end < size, at_end)).when(F.col("_place") > F.col("_stop"), 0)
+    takes = F.col("_epochs") + F.when(F.col("_part") == 0, 0).otherwise(1)
+    copies = (
+        placed.withColumn("_part", part)
+        .withColumn("_takes", takes)
+        .filter("_takes > 0")
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_takes"))))
+    )
     pieces = F.regexp_extract_all(f"{_ROW}.text", F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    head = F.when(left < F.col("size"), F.array_join(F.slice(pieces, F.lit(1), left.cast("int")), "")).otherwise(F.col(f"{_ROW}.text"))
+    is_cut = (F.col("_part") > 0) & (F.col("_copy") == F.col("_takes"))
+    head = F.when(is_cut, F.array_join(F.slice(pieces, F.lit(1), F.col("_part").cast("int")), "")).otherwise(F.col(f"{_ROW}.text"))
     cut_text = copies.withColumn("_text", head)
     changed = {"text": F.col("_text")}
     if "n_chars" in docs.columns:

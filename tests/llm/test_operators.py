@@ -223,6 +223,22 @@ def test_mix_is_taken_word_for_word(docs, empty):
     assert mixing.mixed(empty).collect() == []
 
 
+def test_mix_of_equal_rows_and_without_a_shuffle_of_texts(spark):
+    rows = [(7, "six words that are all equal", "en", "a", 28, 0, 0.0, "", 0, "", 0, 0.0)] * 41
+    rows += [(i, prose(random.Random(i), 30), "en", "bc"[i % 2], 1, 0, 0.0, "", 0, "", 0, 0.0) for i in range(40)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = mixing.mixed(docs)
+    got, want = Counter(), Counter()
+    for r in out.collect():
+        got[r.source] += len(r.text.split())
+    for r in mixing.plan(docs).collect():
+        want[r.target] += r.taken
+    assert sorted(got.values()) == sorted(want.values()) == [round(t) for t in sorted(want)]
+    assert got["a"] == 241  # the budget, a sixth of all 1,446 words, ends within one of the equal rows
+    alone = mixing.mixed(docs.filter("doc_id <> 7"))
+    assert "Exchange hashpartitioning" not in alone._jdf.queryExecution().executedPlan().toString()
+
+
 def test_shards(docs, empty, rows):
     got = sharding.interleave(docs, shards=7).collect()
     assert len(got) == len(rows)
