@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from candlewick.llm.runtime import partitions
+from candlewick.llm.runtime import give_back, partitions
 
 U64 = np.uint64
 #: 64-bit words per segment: the unit that is shuffled and merged.
@@ -120,6 +120,7 @@ def repeated(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.nda
     for row in merged.toLocalIterator():
         part = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row.twice)), U64)
         out[row.seg * SEGMENT : row.seg * SEGMENT + len(part)] = part
+    give_back()
     return out
 
 
@@ -201,4 +202,5 @@ def repeated_keys(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[n
     out = np.zeros(words, U64)
     for row in merged.toLocalIterator():
         out[row.seg * SEGMENT : (row.seg + 1) * SEGMENT] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(row.twice)), U64)
+    give_back()
     return out

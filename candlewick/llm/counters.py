@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from candlewick.llm import textkit
-from candlewick.llm.runtime import partitions, tidy
+from candlewick.llm.runtime import give_back, partitions, tidy
 
 COUNTERS, SEGMENTS = 1 << 18, 64
 
@@ -52,4 +52,5 @@ def count(rows: DataFrame, hashes: Callable[[pa.RecordBatch], Iterator[np.ndarra
     out = np.zeros((SEGMENTS, width), np.int64)
     for row in merged.toLocalIterator():
         out[row.seg] = np.frombuffer(zlib.decompress(bytes(row.n)), "<i8")
+    give_back()
     return out.reshape(-1)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from candlewick.llm import textkit
-from candlewick.llm.runtime import small_batches, tidy
+from candlewick.llm.runtime import give_back, small_batches, tidy
 
 U64 = np.uint64
 
@@ -174,8 +174,11 @@ def fit(docs: DataFrame, labels: DataFrame, config: Config = Config()) -> Model:
                 )
 
     rows = sample.mapInArrow(tidy(count), "doc_id long, label int, at binary, n binary").toLocalIterator()
-    got = sorted(((r.doc_id, bytes(r.at), bytes(r.n), r.label) for r in rows), key=lambda r: r[0])
-    return train([(np.frombuffer(a, "<i4"), np.frombuffer(n, "<i4"), y) for _, a, n, y in got], config)
+    got = sorted(((r.doc_id, np.frombuffer(r.at, "<i4"), np.frombuffer(r.n, "<i4"), r.label) for r in rows), key=lambda r: r[0])
+    model = train([(at, n, y) for _, at, n, y in got], config)
+    del got
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:

@@ -58,19 +58,24 @@ def small_batches(spark: SparkSession, rows: int = 512) -> None:
         spark.conf.set(key, str(rows))
 
 
+def give_back() -> None:
+    """Hands the free memory of this process, which numpy and Arrow have freed but kept, back to the system."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def tidy(part: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """`part` for mapInArrow, after which the worker hands its free memory back to the system.
 
-    Workers outlive their tasks and stand beside those of later stages, with all that numpy and Arrow have freed but kept.
+    Workers outlive their tasks and stand beside those of later stages.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
             yield from part(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
-                libc.malloc_trim(0)
+            give_back()
 
     return run
 
