@@ -37,8 +37,9 @@ def discontinuities(bars: DataFrame, min_move: float = SPLIT_MIN_MOVE, tolerance
     df = df.withColumn("ratio", F.col("prev_close") / F.nullif(F.col("close"), zero))
     df = df.withColumn("_move", F.abs(F.col("close") / F.nullif(F.col("prev_close"), zero) - 1))
     df = df.withColumn("_after", F.percentile("close", F.lit(0.5)).over(_by_symbol().rowsBetween(0, 4)))
-    wide = F.when(F.col("ratio") >= 1, F.col("ratio")).otherwise(1 / F.nullif(F.col("ratio"), zero))
-    df = df.filter((F.col("_n") >= 3) & (F.col("_move") >= min_move) & (F.col("ratio") > 0))
+    df = df.filter((F.col("_n") >= 3) & (F.col("_move") >= min_move) & (F.col("close") > 0) & (F.col("prev_close") > 0))
+    # each way by its own division: the reciprocal of the ratio can be one step off, and decide at the tolerance
+    wide = F.greatest(F.col("ratio"), F.col("close") / F.col("prev_close"))
     df = df.withColumn("_near", F.filter(F.array(*map(F.lit, ratios)), lambda t: F.abs(wide - t) / t <= tolerance)).filter(F.size("_near") > 0)
     intraday = (F.col("high") - F.col("low")) / F.nullif(F.col("close"), zero)
     stays = F.abs(F.col("_after") / F.nullif(F.col("close"), zero) - 1)

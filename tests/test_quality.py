@@ -89,6 +89,28 @@ def test_splits_are_told_from_moves(spark):
     assert sure.nearest_split == 5 and sure.confidence == "high"
 
 
+def test_splits_right_at_the_tolerance_are_those_of_the_sql(spark, tmp_path):
+    """Prices up by 2.08, 1.92, 2.6 and 1.44: the reciprocal of the ratio is a step off and falls on the other side."""
+    import duckdb
+
+    from candlewick.plans import quality_queries
+
+    rows, order = [], 0
+    for symbol, (times, k) in enumerate((t, k) for t in (208, 192, 260, 144) for k in range(1, 41)):
+        for d, cents in enumerate([100 * k] * 3 + [times * k] * 8):
+            rows.append((order, 1, symbol, 1, 1.0, cents / 100, pd.Timestamp("2020-01-01") + pd.Timedelta(days=d)))
+            order += 1
+    # prices that no split explains, as both are below zero
+    rows += [(order + d, 1, 900, 1, 1.0, price, pd.Timestamp("2020-01-01") + pd.Timedelta(days=d)) for d, price in enumerate([-1.0] * 3 + [-2.0] * 8)]
+    names = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_shipdate"]
+    pd.DataFrame(rows, columns=names).to_parquet(tmp_path / "lineitem.parquet", coerce_timestamps="us")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet'")
+    want = con.execute(quality_queries.ORACLE_SQL["split_detect"]).fetchall()
+    got = quality_queries.split_detect(spark, str(tmp_path))
+    assert 0 < len(want) < 161 and sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_orphans_and_rolls(spark):
     old, new = series("A", 3, 1, start="2010-01-01"), series("A", 260, 2, start="2015-01-01")
     b = bars(spark, [old, new, series("B", 3, 3, start="2010-01-01"), series("B", 20, 4, start="2015-01-01")])
