@@ -324,6 +324,54 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def join_rows(spark, run):
+    """The rows that all joins give while `run` is under way."""
+    store = spark._jsparkSession.sharedState().statusStore()
+
+    def executions():
+        got = store.executionsList()
+        return [got.apply(i).executionId() for i in range(got.size())]
+
+    before, total = set(executions()), 0
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    for e in set(executions()) - before:
+        values, nodes = store.executionMetrics(e), store.planGraph(e).allNodes()
+        for i in range(nodes.size()):
+            node = nodes.apply(i)
+            for j in range(node.metrics().size() if "Join" in node.name() else 0):
+                m = node.metrics().apply(j)
+                if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    total += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return total
+
+
+def test_components_look_each_link_up_about_once(spark):
+    """A dense group at the end of a long chain: its links are not joined anew for every step along the chain."""
+    rng = random.Random(5)
+    dense = [(1_000 + i, 1_000 + rng.randrange(300)) for i in range(300) for _ in range(40)]
+    line = [rng.randrange(1 << 40) for _ in range(60)]
+    links = {(a, b) for a, b in [*dense, *zip(line, line[1:], strict=False), (line[-1], 1_000)] if a != b}
+    df = spark.createDataFrame(sorted(links), "a long, b long")
+    got = []
+    rows = join_rows(spark, lambda: got.extend(components(df).collect()))
+    assert len(got) == 360 and {r.component for r in got} == {min(min(x) for x in links)}
+    assert 0 < rows < 4 * len(links)
+
+
+def test_components_equal_those_of_a_plain_version(spark):
+    rng = random.Random(6)
+    links = [(rng.randrange(3_000), rng.randrange(3_000)) for _ in range(1_700)]
+    links += [(9_000, 8_000 + i) for i in range(200)]  # the hub is the largest of its nodes
+    g = brute.Groups()
+    for a, b in links:
+        if a != b:
+            g.link(a, b)
+    nodes = {x for a, b in links if a != b for x in (a, b)}
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long").repartition(5)).collect()}
+    assert got == {x: g.find(x) for x in nodes}
+
+
 def test_twice_filter_holds_every_repeat(spark):
     rng = np.random.default_rng(0)
     values = [int(x) for x in rng.integers(0, 1 << 40, 4000)]
