@@ -4,7 +4,8 @@ A rotation of the principal axes is learned on a bounded sample so that the sign
 and close to the vectors; they are a code of up to 64 bits.  A code is cut into as many pieces as there are Hamming
 tables, each piece the key of one.  A table is searched within a radius: vectors meet if their pieces differ in at most
 `radius` bits.  For radius 1 a vector is stored under its own key, and if that has an odd number of ones, it also looks
-under all keys one bit away: of two keys one bit apart, one is odd.
+under all keys one bit away: of two keys one bit apart, one is odd.  Tables and radius are the same for every size of
+input, so that which pairs meet does not change with the number of rows.
 
 Only identifiers and codes are sent to the tables.  Codes that meet are compared bit by bit, and pairs further apart
 than vectors at the threshold get with a chance of about 1e-5 are let go.  The vectors themselves go to cells in which
@@ -12,8 +13,8 @@ pairs are left, once each, and are compared by cosine in double precision, if th
 in several tables counts in the first.  Equal vectors of one label are one node that is compared once and counted as
 often as it has members.
 
-The pieces widen with the table, since what meets by chance grows with its square: `plan_tables`.  For pairs right at a
-cosine of 0.93, isotropic and not learned from, either plan finds more than 0.99 (see the README).  Defined results: a
+Pieces of 9-10 bits within one bit find a pair right at a cosine of 0.93, isotropic and not learned from, with a chance of
+0.9998, and unrelated codes meet with an expected sum over the tables of 0.13 of their pairs.  Defined results: a
 vector that is null, empty, all zeros, or has null or non-finite components, or has no label, links with nothing and is
 its own component; vectors of different lengths are never linked; a pair whose cosine is the threshold is linked, as far
 as double precision tells; repeated rows link with each other, whatever their vec_ids; an empty table gives an empty
@@ -41,8 +42,8 @@ from candlewick.llm.runtime import cut, fresh_dir, small_batches
 #: Vectors of one length that its rotation is learned from, the smallest by a hash.
 SAMPLE = 10_000
 BLOCK = 1_024
-#: Vectors from which wider pieces pay for more postings.
-LARGE = 2_000_000
+#: Hamming tables, and the bits in which the pieces of vectors that meet in one may differ.
+TABLES, RADIUS = 7, 1
 U64 = np.uint64
 
 
@@ -63,14 +64,6 @@ def learn_rotation(x: np.ndarray, bits: int = 64, rounds: int = 40, seed: int =
     return mean, axes[:, ::-1][:, :bits] @ turn
 
 
-def plan_tables(vectors: int) -> tuple[int, int]:
-    """(tables, radius): pieces of 5-6 bits that must agree, or in large tables pieces of 10-11 bits within one bit.
-
-    Unrelated codes meet with an expected sum over the tables of 0.31 of their pairs in the first case, 0.04 in the second.
-    """
-    return (12, 0) if vectors < LARGE else (6, 1)
-
-
 def most_bits_apart(threshold: float, bits: int) -> int:
     """Bits in which codes differ at the threshold, and 4.5 standard deviations more."""
     p = math.acos(max(-1.0, min(1.0, threshold))) / math.pi
@@ -134,8 +127,8 @@ def _learn(classes: DataFrame) -> dict[int, str]:
     return {r.d: f"{out}/{r.d}.npz" for r in sample.groupBy("d").applyInPandas(learn, "d int").toLocalIterator()}
 
 
-def link(vectors: DataFrame, threshold: float = 0.93, tables: int | None = None, radius: int = 0) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) per row; without `tables`, the table's size says how many and the radius."""
+def link(vectors: DataFrame, threshold: float = 0.93, tables: int = TABLES, radius: int = RADIUS) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) per row."""
     spark = vectors.sparkSession
     small_batches(spark, 2_048)
     wide = vectors.schema["embedding"].dataType.elementType.simpleString() != "float"
@@ -148,8 +141,6 @@ def link(vectors: DataFrame, threshold: float = 0.93, tables: int | None = None,
     # copies are one class, pre-aggregated by task before the shuffle
     grouped = marked.filter("ok").groupBy("k1", "k2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("label").alias("label"), F.first("v").alias("v"))
     classes = cut(grouped.withColumn("node", F.monotonically_increasing_id()))
-    if tables is None:
-        tables, radius = plan_tables(classes.count())
     models = spark.sparkContext.broadcast(_learn(classes))
 
     def coded(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, int, np.ndarray]]:

@@ -324,6 +324,24 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_embedding_links_do_not_depend_on_the_size_of_the_table(spark, monkeypatch):
+    """Pairs right at the limit: whatever is counted as a large table, the same ones are found."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    off = rng.normal(size=x.shape)
+    off -= (off * x).sum(1, keepdims=True) * x
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    y = 0.9301 * x + np.sqrt(1 - 0.9301**2) * off
+    rows = [(2 * i + j, [float(v) for v in z[i]], 0) for i in range(len(x)) for j, z in enumerate((x, y))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").coalesce(1)
+    found = []
+    for large in (1 << 60, 1):
+        monkeypatch.setattr(embdedup, "LARGE", large, raising=False)
+        found.append({r.vec_id for r in embdedup.link(df).collect() if r.n_links})
+    assert found[0] == found[1] and len(found[0]) > 0.998 * len(rows)
+
+
 def join_rows(spark, run):
     """The rows that all joins give while `run` is under way."""
     store = spark._jsparkSession.sharedState().statusStore()
