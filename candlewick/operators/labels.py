@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from candlewick.config import LABEL_HORIZON, LABEL_TOUCH, LABEL_VARIANTS, PRIMARY_VARIANT, LabelVariant
+from candlewick.sources.stage import staged
 
 def _by_symbol() -> WindowSpec:
     return Window.partitionBy("symbol").orderBy("session")
@@ -97,6 +98,25 @@ def outcome_mix(labelled: DataFrame) -> DataFrame:
 
 
 def outcome_percentiles(labelled: DataFrame, points: tuple[float, ...] = (0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
-    exact = F.percentile("label_exit_ret", F.array(*map(F.lit, points)))
-    rows = labelled.agg(exact.alias("p")).select(F.explode(F.arrays_zip(F.array(*map(F.lit, points)).alias("point"), F.col("p").alias("value"))).alias("x"))
-    return rows.select(F.col("x.point").alias("point"), F.col("x.value").alias("value"))
+    """(point, value): exact percentiles of the primary variant's outcome, interpolated; null where no outcome is known.
+
+    Values are counted, dealt out in ranges and kept.  The ranges' totals tell in which of them a point's two neighbours
+    lie, and only those are counted through, so no task holds all values.
+    """
+    counted = labelled.select(F.col("label_exit_ret").alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    spread = int(labelled.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = staged(counted.repartitionByRange(spread, "v").withColumn("part", F.spark_partition_id()))
+    line = Window.partitionBy(F.lit(0)).orderBy("part")
+    parts = dealt.groupBy("part").agg(F.sum("n").alias("n"))  # one row per range
+    parts = parts.select("part", "n", (F.sum("n").over(line) - F.col("n")).alias("before"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("all"))
+    asked = labelled.sparkSession.createDataFrame([(p,) for p in points], "point double")
+    at = F.col("point") * (F.col("all") - 1)
+    wanted = asked.crossJoin(parts).withColumn("at", at).withColumn("k", F.explode(F.array_distinct(F.array(F.floor(at), F.ceil(at)))))
+    wanted = wanted.filter((F.col("before") <= F.col("k")) & (F.col("k") < F.col("before") + F.col("n"))).select("part", "before", "point", "at", "k")
+    within = dealt.join(F.broadcast(wanted.select("part", "before").distinct()), "part")
+    upto = within.select("part", "v", "n", (F.col("before") + F.sum("n").over(Window.partitionBy("part").orderBy("v"))).alias("upto"))
+    found = upto.join(F.broadcast(wanted), "part").filter((F.col("upto") - F.col("n") <= F.col("k")) & (F.col("k") < F.col("upto")))
+    weight = F.when(F.col("k") == F.floor("at"), 1 - (F.col("at") - F.floor("at"))).otherwise(F.col("at") - F.floor("at"))
+    # the lower neighbour first; one that carries all the weight is alone
+    value = F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("k", (F.col("v") * weight).alias("x")))), lambda y: y.x), F.lit(0.0), lambda s, x: s + x)
+    return asked.join(found.groupBy("point").agg(value.alias("value")), "point", "left")

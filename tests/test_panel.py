@@ -177,3 +177,16 @@ def test_small_file_helpers(spark, tmp_path):
     assert (start, end, len(notes)) == (day("2024-01-01"), day("2024-02-01"), 2)
     (tmp_path / "x").write_text("abc")
     assert files.file_sha256(spark, f"{tmp_path}/x").first().sha256.startswith("ba7816bf")
+
+
+def test_outcome_percentiles_are_exact_and_held_by_no_single_task(spark):
+    rng = np.random.default_rng(4)
+    points = (0.0, 0.01, 0.05, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
+    for values in ([], [0.5], [0.1, 0.2], [0.05] * 700 + [-0.03] * 301, list(rng.normal(size=5_003)) + [0.25] * 3_000):
+        df = spark.createDataFrame([(float(x),) for x in values] + [(None,)] * 3, "label_exit_ret double").repartition(7)
+        got = labels.outcome_percentiles(df, points)
+        assert "percentile" not in got._jdf.queryExecution().executedPlan().toString()
+        got = {r.point: r.value for r in got.collect()}
+        assert set(got) == set(points)
+        for p in points:
+            assert got[p] is None if not values else got[p] == pytest.approx(np.quantile(values, p), abs=1e-12), (len(values), p)
